@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiergraph.llm import quality
+from tiergraph.llm import decontaminate, quality
 from tiergraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,31 @@ def _query(fn):
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
+
+
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+#: Alphabets for lower-casing A-Z alone, and words of the two kinds, in SQL.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op3_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_ALNUM_WORDS} AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS l, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS g
+       FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT l FROM iw),
+dw AS (SELECT r, p, l, array_to_string(ws[p:p + l - 1], ' ') AS g
+       FROM (SELECT r, ws, l, unnest(range(1, len(ws) - l + 2)) AS p FROM d, sizes WHERE len(ws) >= l)),
+h AS (SELECT dw.r, dw.p, dw.l, iw.item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.l = iw.l),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + l)) AS q FROM h) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+       FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+"""
