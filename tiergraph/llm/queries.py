@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiergraph.llm import decontaminate, quality
+from tiergraph.llm import decontaminate, extract, quality, secrets
 from tiergraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
 
 
+@_query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_main(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
+
+
 @_query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -50,3 +55,9 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
+
+
+@_query
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
