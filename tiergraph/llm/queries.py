@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tiergraph.llm import decontaminate, extract, quality, secrets
+import public_tokenizers
+
+from tiergraph.llm import binary, decontaminate, extract, packing, quality, secrets
 from tiergraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +59,17 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
 
 
+@_query
+def op5_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = binary.write_ids(table(spark, sf_dir, "documents"), binary.new_path(spark), public_tokenizers.path("word_bpe_49k.json"), "dropped", end_id=1)
+    return binary.read_ids(spark, path)
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "spaced", end_id=0)
+
+
 @_query
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
