@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tiergraph.llm import binary, decontaminate, extract, packing, quality, secrets
+from tiergraph.llm import binary, decontaminate, extract, jaccard, packing, quality, secrets
 from tiergraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+@_query
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
