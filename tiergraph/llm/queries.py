@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tiergraph.llm import binary, decontaminate, extract, jaccard, packing, quality, secrets
+from tiergraph.llm import binary, decontaminate, extract, jaccard, mixing, packing, quality, secrets
 from tiergraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.lm_scores(table(spark, sf_dir, "documents"))
