@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tiergraph.llm import binary, decontaminate, extract, jaccard, mixing, packing, quality, secrets
+from tiergraph.llm import binary, chat, decontaminate, extract, jaccard, licenses, mixing, packing, quality, secrets
 from tiergraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,23 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_chat_formatting"] = """
+WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l, count(*) AS n FROM conversations GROUP BY conv_id),
+s AS (SELECT l, min(n) AS n, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY l),
+p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM c))
+SELECT conv_id, n AS n_turns, n_copies,
+       array_to_string([concat('<|im_start|>', coalesce(x.role, 'unknown'), chr(10), coalesce(x.text, ''), '<|im_end|>', chr(10)) FOR x IN l], '') AS rendered
+FROM s WHERE l NOT IN (SELECT l FROM p)
+"""
+
+
+@_query
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
