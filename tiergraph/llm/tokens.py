@@ -17,13 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CACHED = 250_000
+CACHED = 500_000
 #: Characters of text whose chunks are held at a time, as lists.
 STEP_CHARS = 1 << 21
 
 _DROPPED = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Separators that a tokenizer and Python need not agree on, and white space beyond ASCII.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Without these, single spaces and line ends alone part the words.
+_RUNS = ("\t", "\r", "\x0b", "\x0c", "  ", "\n\n", " \n", "\n ")
+#: Marks chunks that are written as they stand; other chunks of the "spaced" kind have a space in front.
+_AS_IT_IS = "\x1f"
 
 
 class Encoder:
@@ -34,7 +40,6 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.kind = kind
-        self.split = {"dropped": _DROPPED, "spaced": _SPACED}[kind].findall
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.cached = cached
@@ -43,11 +48,24 @@ class Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _chunks(self, text: str) -> list[str] | None:
-        if self.kind == "spaced" and _OTHER_SPACE.search(text):
-            return None
+        """Cache keys of the text's chunks; None if it must be encoded whole."""
         if any(s in text for s in self.special):
             return None
-        return self.split(text)
+        odd = any(c in text for c in _SEPARATORS)
+        if self.kind == "dropped":
+            return _DROPPED.findall(text) if odd else text.split()
+        if odd or not text.isascii() and any(c in text for c in _OTHER_SPACE):
+            return None
+        if text and text[0] not in " \n" and text[-1] not in " \n" and not any(r in text for r in _RUNS):
+            chunks = text.replace("\n", " \n").split(" ")  # a chunk with a line end in front stands as it is
+            chunks[0] = _AS_IT_IS + chunks[0]
+            return chunks
+        return [_AS_IT_IS + c for c in _SPACED.findall(text)]
+
+    def _text(self, key: str) -> str:
+        if key[0] == _AS_IT_IS:
+            return key[1:]
+        return key if self.kind == "dropped" or key[0] == "\n" else " " + key
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text (null: empty), in order."""
@@ -60,32 +78,16 @@ class Encoder:
             cut = [self._chunks(t or "") for t in texts[at:to]]
             known = self.cache
             missing = list(set().union(*(c for c in cut if c)).difference(known))
-            if missing:
-                fresh = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(missing, self.model.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-                room = self.cached - len(known)
-                if len(fresh) <= room:
-                    known.update(fresh)
-                else:
-                    for c in missing[: max(0, room)]:
-                        known[c] = fresh[c]
-                    known = _Both(known, fresh)
+            for c, e in zip(missing, self.model.encode_batch_fast([self._text(c) for c in missing], add_special_tokens=False) if missing else (), strict=True):
+                known[c] = np.array(e.ids, dtype="<u4").tobytes()
             get = known.__getitem__
             for t, c in zip(texts[at:to], cut, strict=True):
                 yield self.whole(t or "") if c is None else b"".join(map(get, c))
+            for c in missing[max(0, self.cached - len(known) + len(missing)) :]:
+                del known[c]
             at = to
 
 
-class _Both(dict):
-    """Fresh chunks in front of the cache, for one step."""
-
-    def __init__(self, cache: dict[str, bytes], fresh: dict[str, bytes]):
-        super().__init__(fresh)
-        self.cache = cache
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.cache[chunk]
-
-
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
