@@ -8,11 +8,13 @@ sets link when their Jaccard similarity reaches the threshold.  The join is exac
 2. Equal sets collapse into one class, and classes with identical prefixes and size into one group.
 3. Groups meet in the buckets of their prefix shingles.  The length bound and the positional bound filter
    group pairs there.  A bucket of at most SMALL groups gives all its pairs; in a larger one each group is
-   paired with three earlier ones only, which is enough to link nearly all of a family of near copies.
+   paired with one earlier one only, picked by a hash; over the buckets that a family of near copies
+   shares, this links nearly all of it.
 4. Group pairs expand to their members, whose whole sets meet in two sorted merges and are verified.
-5. Components of the links are found.  Then the large buckets are taken up again, and their remaining
-   pairs are verified where, and only where, the two sides are not in one component yet.  So no link that
-   could change a component is lost, and no family of n copies costs n * n pairs.
+5. Components of the links are found.  Then the large buckets are taken up again: in ROUNDS sparse rounds
+   whoever is outside a bucket's main component meets a few of its members, and at last the remaining pairs
+   are verified where, and only where, the two sides are not in one component yet.  So no link that could
+   change a component is lost, and a family of n copies that hang together does not cost n * n pairs.
 
 The sketch has a size bound (2 ** MOST_BITS bytes); sets are only moved for classes in some pair, chosen
 by a bitmap of that same bound.  Nothing else is broadcast, and nothing is collected but these sketches.
@@ -42,6 +44,8 @@ SIZE = 5
 #: The threshold as a fraction.
 NUM, DEN = 4, 5
 SMALL = 32
+#: Sparse rounds over large buckets before what is left is compared in full; documents to a block of sets.
+ROUNDS, BLOCK_CLASSES = 3, 512
 LEAST_BITS, MOST_BITS, SLICES = 18, 24, 16
 
 
@@ -101,7 +105,7 @@ def sketch(rows: DataFrame, bits: int, codes) -> np.ndarray:
         total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in batches:
             for c in codes(batch):
-                np.add.at(total, (c >> np.uint64(64 - bits)).astype(np.int64), 1)
+                np.add.at(total, (c >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(total[k * per : (k + 1) * per].tobytes(), 1) for k in range(SLICES)], pa.binary())], names=["slice", "counts"])
 
@@ -182,7 +186,7 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     earlier = range(i)
                 else:
                     yield 1, int(token[0]), ident[i], n[i], place[i]
-                    earlier = {i - 1, i - 2, (ident[i] ^ int(token[0])) % i} if i > 1 else {0} if i else ()
+                    earlier = ((ident[i] ^ int(token[0])) % i,) if i else ()
                 for j in earlier:
                     if _fits(n[i], place[i], n[j], place[j]):
                         yield 0, *_ordered(ident[i], ident[j]), 0, 0
@@ -190,6 +194,29 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _pair_batches(found())
 
 
+def _round_pairs(turn: int):
+    """From (token, n, place, id, root) rows of large buckets: each member outside a bucket's main component
+    with two members of that component, picked by a hash that differs from turn to turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int, int, int, int]]:
+            for token, n, place, ident, root in _runs(batches):
+                kinds, size = np.unique(root, return_counts=True)
+                if len(kinds) < 2:
+                    continue
+                inside = root == kinds[size.argmax()]
+                main = np.flatnonzero(inside)
+                for i in np.flatnonzero(~inside).tolist():
+                    for k in range(2):
+                        j = int(main[(hash((int(ident[i]), int(token[0]), turn, k)) >> 7) % len(main)])
+                        if _fits(int(n[i]), int(place[i]), int(n[j]), int(place[j])):
+                            yield 0, *_ordered(int(ident[i]), int(ident[j])), 0, 0
+
+        yield from _pair_batches(found())
+
+    return run
+
+
 def _second_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (token, n, place, id, root) rows of large buckets sorted by token and n: pairs of unlike roots."""
 
@@ -220,7 +247,9 @@ class _Join:
         small_batches(self.spark)
         self.docs = docs.select(F.col(named(doc_id)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text"))
         self.texts = self.docs.select("text")
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (8 * self.docs.count()).bit_length()))
+        n = self.docs.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+        self.blocks = max(1, n // BLOCK_CLASSES)
         self.levels: Broadcast = self.spark.sparkContext.broadcast(sketch(self.texts, self.bits, lambda batch: (shingle_sets(t)[1] for t in slices(batch.column(0), LOWER))))
 
     def classes(self) -> DataFrame:
@@ -282,54 +311,64 @@ class _Join:
 
         return self.texts.mapInArrow(run, "cls bigint, codes binary")
 
+    def keep_sets(self, classes: DataFrame) -> None:
+        """Store the whole sets of these classes (and of some more) for verification."""
+        wanted = sketch(classes, self.bits, lambda batch: [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+        block = F.pmod(F.col("cls"), F.lit(self.blocks))
+        self.held = staged(self.sets(wanted, self.bits).withColumn("block", block), "sets")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes whose whole sets reach the threshold."""
-        bits = self.bits
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        wanted = sketch(ends, bits, lambda batch: [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-        sets = staged(self.sets(wanted, bits), "sets").select("cls", F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("other"), "codes", F.lit(None).cast("binary").alias("own"))
+        """The pairs (a, b) of classes whose whole sets reach the threshold.
 
-        def merged(rows: DataFrame, fn, schema: str) -> DataFrame:
-            return sets.union(rows).repartition(F.col("cls")).sortWithinPartitions("cls", "side").mapInArrow(fn, schema)
+        A set goes once to the pairs that it opens, and from there once to each block of classes that it
+        is compared with, however many of them are in the block.
+        """
+        none = F.lit(None).cast("binary")
+        opens = self.held.select("cls", F.lit(0).alias("side"), "block", F.lit(None).cast("bigint").alias("other"), "codes")
+        asks = pairs.select(F.col("a").alias("cls"), F.lit(1).alias("side"), F.pmod(F.col("b"), F.lit(self.blocks)).alias("block"), F.col("b").alias("other"), none.alias("codes"))
 
         def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls = codes = None
             for batch in batches:
-                to, who, what = [], [], []
-                for c, side, other, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                out: dict[tuple[int, int], list] = {}
+                for c, side, block, other, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     if side == 0:
                         if c != cls:
                             cls, codes = c, body
                     elif c == cls:
-                        to.append(other)
-                        who.append(c)
-                        what.append(codes)
-                if to:
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(who, pa.int64()), pa.array(what, pa.binary())], names=["cls", "other", "own"])
+                        out.setdefault((block, c), [codes, []])[1].append(other)
+                if out:
+                    columns = [[k[0] for k in out], [k[1] for k in out], [v[1] for v in out.values()], [v[0] for v in out.values()]]
+                    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["block", "cls", "others", "codes"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cls, codes = None, None
+            at, sets = None, {}
             for batch in batches:
                 a, b = [], []
-                for c, side, other, body, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                    if side == 0:
-                        if c != cls:
-                            cls, codes = c, np.frombuffer(body, dtype=np.uint64)
-                    elif c == cls:
-                        mine = np.frombuffer(own, dtype=np.uint64)
-                        both = len(codes) + len(mine)
-                        union = np.sort(np.concatenate([codes, mine]), kind="stable")
-                        shared = int((union[1:] == union[:-1]).sum())
-                        if DEN * shared >= NUM * (both - shared):
-                            a.append(other)
-                            b.append(c)
+                for block, _, c, others, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    if block != at:
+                        at, sets = block, {}
+                    own = np.frombuffer(body, dtype=np.uint64)
+                    if others is None:
+                        sets[c] = own
+                        continue
+                    for other in others:
+                        if other not in sets:
+                            continue
+                        both = np.sort(np.concatenate([own, sets[other]]), kind="stable")
+                        shared = int((both[1:] == both[:-1]).sum())
+                        if DEN * shared >= NUM * (len(both) - shared):
+                            a.append(c)
+                            b.append(other)
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        first = pairs.select(F.col("a").alias("cls"), F.lit(1).alias("side"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("binary").alias("own"))
-        halfway = merged(first, attach, "cls bigint, other bigint, own binary")
-        second = halfway.select("cls", F.lit(1).alias("side"), "other", F.lit(None).cast("binary").alias("codes"), "own")
-        return merged(second, compare, "a bigint, b bigint")
+        halfway = opens.union(asks).repartition(F.col("cls")).sortWithinPartitions("cls", "side", "block").mapInArrow(attach, "block bigint, cls bigint, others array<bigint>, codes binary")
+        needed = self.held.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi")
+        blocks = needed.select("block", F.lit(0).alias("side"), "cls", F.lit(None).cast("array<bigint>").alias("others"), "codes")
+        rows = blocks.union(halfway.select("block", F.lit(1).alias("side"), "cls", "others", "codes"))
+        return rows.repartition(F.col("block")).sortWithinPartitions("block", "side").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _bucketed(rows: DataFrame, fn) -> DataFrame:
@@ -352,18 +391,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     inner = members.join(shared, "grp").select(F.col("grp").alias("token"), "n", F.lit(0).cast("bigint").alias("place"), F.col("cls").alias("id"))
     within = staged(_bucketed(inner, _first_pairs), "pairs")
     pairs = staged(across.union(within.where("kind = 0").select("a", "b")).distinct(), "pairs")
+    rows = large.join(side, "grp").select("token", "n", "place", F.col("cls").alias("id"))
+    rows = staged(rows.union(within.where("kind = 1").select("a", "n", "place", "b")), "large")
+    join.keep_sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(rows.select("id")).distinct())
     links = staged(join.verify(pairs), "links")
     roots = components(links)
 
-    # Large buckets once more: what is left between unlike components.
-    rows = large.join(side, "grp").select("token", "n", "place", F.col("cls").alias("id"))
-    rows = rows.union(within.where("kind = 1").select("a", "n", "place", "b"))
-    rows = rows.join(roots.withColumnRenamed("vertex", "id"), "id", "left").select("token", "n", "place", "id", F.coalesce("root", "id").alias("root"))
-    rest = staged(_bucketed(rows, _second_pairs).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = staged(join.verify(rest), "links")
+    # Large buckets again: first a few pairs for whoever is outside, then all that is left between components.
+    for turn in range(ROUNDS + 1 if not rows.isEmpty() else 0):
+        rooted = rows.join(roots.withColumnRenamed("vertex", "id"), "id", "left").select("token", "n", "place", "id", F.coalesce("root", "id").alias("root"))
+        step = _round_pairs(turn) if turn < ROUNDS else _second_pairs
+        fresh = staged(_bucketed(rooted, step).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            continue
+        pairs = pairs.union(fresh)
+        more = staged(join.verify(fresh), "links")
         if not more.isEmpty():
-            roots = components(links.union(more))
+            links = links.union(more)
+            roots = components(links)
 
     least = known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = staged(least, "least")
