@@ -134,14 +134,20 @@ def _fits(n1: int, p1: int, n2: int, p2: int) -> bool:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows with equal first column of sorted batches, as arrays; only the open run is held."""
+    """Rows with equal first column of sorted batches, as arrays; only the open run is held.
+
+    Runs of a single row inside a batch are passed over: they make no pairs.
+    """
     held: list[list[np.ndarray]] = []
     for batch in batches:
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         if not len(columns[0]):
             continue
         edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
-        for a, b in zip(np.append(0, edges), np.append(edges, len(columns[0])), strict=True):
+        begins, ends = np.append(0, edges), np.append(edges, len(columns[0]))
+        wanted = ends - begins > 1
+        wanted[[0, -1]] = True  # these may go on in other batches
+        for a, b in zip(begins[wanted].tolist(), ends[wanted].tolist(), strict=True):
             part = [c[a:b] for c in columns]
             if held and held[0][0][0] != part[0][0]:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
