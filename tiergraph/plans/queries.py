@@ -636,6 +636,80 @@ def pad_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(graph.nodes.select("node_id", "rank", "truth"))
 
 
+# -- the same over whole tables ----------------------------------------------------------
+# The queries above keep their fixed id ranges, as their SQL is fixed; these take in every event.
+
+
+_EVERY_TICK = f"WITH {EVENTS}, f AS (SELECT t AS tick, node_id, (truth + (node_id % 7 = t % 7)::INT) AS truth FROM n, range(12) AS r(t))"
+_SPAN = "b AS (SELECT min(rank) AS lo, max(rank) AS hi FROM n), sa AS (SELECT node_id FROM n, b WHERE rank >= lo + (hi - lo) // 4), sb AS (SELECT node_id FROM n, b WHERE rank <= hi - (hi - lo) // 4)"
+
+
+def _every_frame(nodes: DataFrame) -> DataFrame:
+    ticks = nodes.select("node_id", "truth", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("t"))
+    return ticks.select(F.col("t").cast("bigint").alias("tick"), "node_id", (F.col("truth") + (F.col("node_id") % 7 == F.col("t") % 7).cast("int")).cast("smallint").alias("truth"))
+
+
+def _span(graph: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The upper and the lower three quarters of the graph's own ranks, and all of them."""
+    lo, hi = graph.nodes.agg(F.min("rank"), F.max("rank")).first()
+    if lo is None:
+        lo = hi = 0
+    quarter = (hi - lo) // 4
+    return distance.rank_range(graph, lo + quarter, hi), distance.rank_range(graph, lo, hi - quarter), distance.rank_range(graph, lo, hi)
+
+
+@query(_EVERY_TICK + " SELECT node_id, CAST(truth AS BIGINT) AS truth FROM f WHERE tick = 8")
+def time_travel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = stored(history.changes(_every_frame(event_graph(spark, sf_dir).nodes), 5))
+    return _long(history.state_at(kept, 8, 5))
+
+
+@query(_EVERY_TICK + " SELECT tick, count(*) AS n, CAST(sum(truth) AS BIGINT) AS total FROM f WHERE tick > 11 - 4 GROUP BY tick")
+def ring_buffer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.recent(_every_frame(event_graph(spark, sf_dir).nodes), 4).groupBy("tick").agg(F.count("*").alias("n"), F.sum("truth").alias("total"))
+
+
+@query(f"""WITH {EVENTS}, mark AS (SELECT max(node_id) // 2 AS mark FROM n), log AS (SELECT x.node_id AS seq, e.src AS node, x.truth + 10 AS value FROM n x JOIN e ON e.dst = x.node_id
+UNION ALL SELECT node_id, min(node_id) OVER (PARTITION BY user_id), truth + 10 FROM ev), w AS (SELECT node, max_by(value, seq) AS value FROM log, mark WHERE seq > mark GROUP BY node)
+SELECT node_id, CAST(coalesce(value, truth) AS BIGINT) AS truth FROM n LEFT JOIN w ON w.node = n.node_id""")
+def wal_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event writes to its inputs and to its user's first event, a hot node; a checkpoint is halfway."""
+    graph, rows = event_graph(spark, sf_dir), event_rows(spark, sf_dir)
+    first = rows.groupBy("user_id").agg(F.min("node_id").alias("to"))
+    targets = graph.edges.select(F.col("dst").alias("seq"), F.col("src").alias("to")).unionByName(rows.join(first, "user_id").select(F.col("node_id").alias("seq"), "to"))
+    values = graph.nodes.select(F.col("node_id").alias("seq"), (F.col("truth") + 10).cast("bigint").alias("value"))
+    edits = targets.join(values, "seq").select("seq", F.lit("truth").alias("op"), F.col("to").alias("node_id"), "value")
+    marks = graph.nodes.agg(F.expr("max(node_id) div 2").alias("seq")).select("seq", F.lit("checkpoint").alias("op"), F.lit(None).cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("value"))
+    return _long(history.replay(graph, edits.unionByName(marks)).nodes.select("node_id", "truth"))
+
+
+@query(f"WITH {EVENTS}, {_SPAN} SELECT 'a' AS part, dst, src FROM e WHERE dst IN (FROM sa) AND src IN (FROM sa) UNION ALL SELECT 'b', dst, src FROM e WHERE dst IN (FROM sb) AND src IN (FROM sb)")
+def induced_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = event_graph(spark, sf_dir)
+    a, b, _ = _span(graph)
+    edges = lambda members, part: traverse.induced(graph.edges, members).select(F.lit(part).alias("part"), "dst", "src")
+    return edges(a, "a").unionByName(edges(b, "b"))
+
+
+@query(f"WITH {EVENTS}, p AS (SELECT dst AS r, src AS c FROM e UNION SELECT src, dst FROM e) SELECT r AS row, c AS col, CAST(-1 AS BIGINT) AS value FROM p UNION ALL SELECT r, r, count(*) FROM p GROUP BY r")
+def laplacian_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = event_graph(spark, sf_dir)
+    return distance.laplacian(graph, _span(graph)[2])
+
+
+@query(f"WITH {EVENTS}, {_SPAN} SELECT 'both' AS part, count(*) AS n FROM (FROM sa INTERSECT FROM sb) UNION ALL SELECT 'any', count(*) FROM (FROM sa UNION FROM sb) UNION ALL SELECT 'one', {_delta('sa', 'sb')}")
+def set_operations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, _ = _span(event_graph(spark, sf_dir))
+    count = lambda df, part: df.agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
+    return count(a.intersect(b), "both").unionAll(count(a.union(b).distinct(), "any")).unionAll(count(a.exceptAll(b).unionAll(b.exceptAll(a)), "one"))
+
+
+@query(_ev("CAST(rank AS BIGINT) AS rank, count(*) AS n", "GROUP BY rank"))
+def rank_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = event_graph(spark, sf_dir)
+    return distance.rank_profile(graph, _span(graph)[2])
+
+
 # -- the four-stage runtime ------------------------------------------------------------
 
 
