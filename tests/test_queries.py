@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF
+from graph_data import SF
 
 from tiergraph.plans import queries as q
 

@@ -1,6 +1,6 @@
 """Queries over whole event tables see events past every fixed id range."""
 
-from conftest import SF
+from graph_data import SF
 
 from tiergraph.plans import queries as q
 
