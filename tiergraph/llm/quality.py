@@ -79,7 +79,6 @@ def _measure(t: Texts, function_codes: np.ndarray) -> list[np.ndarray]:
     np.cumsum(inside & _LEADING[t.data], out=total[1:])
     word_chars = np.diff(total[t.offsets])
 
-    prefix = t.prefix()
     breaks = np.flatnonzero(t.data == 10)
     begins = np.union1d(breaks + 1, t.offsets[:-1])
     begins = begins[begins < len(t.data)]
@@ -90,7 +89,7 @@ def _measure(t: Texts, function_codes: np.ndarray) -> list[np.ndarray]:
     np.cumsum(inside, out=used[1:])
     real = used[stop] > used[begins]
     begins, stop, owner = begins[real], stop[real], owner[real]
-    _, later = repeated(owner, span_codes(prefix, begins, stop))
+    _, later = repeated(owner, span_codes(t.data, begins, stop))
     n_dup = np.bincount(owner[later], minlength=n)
     n_lines = np.bincount(owner, minlength=n)
     closing = np.isin(t.data[stop - 1], list(b".!?:;\"')]")) if len(stop) else np.zeros(0, dtype=bool)
@@ -106,8 +105,7 @@ def _measure(t: Texts, function_codes: np.ndarray) -> list[np.ndarray]:
     np.cumsum(SYMBOLS[t.data], out=signs[1:])
     n_symbol = np.bincount(words.text[signs[words.end] > signs[words.start]], minlength=n)
 
-    low = Texts(LOWER[t.data], t.offsets)
-    codes = span_codes(low.prefix(), words.start, words.end)
+    codes = span_codes(LOWER[t.data], words.start, words.end)
     place = np.minimum(np.searchsorted(function_codes, codes), len(function_codes) - 1)
     n_function = np.bincount(words.text[function_codes[place] == codes], minlength=n)
     return [n_words, word_chars, t.counted(SYMBOLS), n_dup, n_repeat, n_lines, n_ended, n_function, n_symbol]

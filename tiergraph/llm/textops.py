@@ -1,7 +1,7 @@
 """Vectorised word kernel over Arrow string columns.
 
-A batch of texts is one byte buffer with offsets.  Words are found by a byte class table, hashed by a
-polynomial prefix sum over the buffer, and mixed to 64 bits, so no Python object is made for a word.
+A batch of texts is one byte buffer with offsets.  Words are found by a byte class table and hashed eight
+bytes at a time over whole arrays, with a mixing step after each, so no Python object is made for a word.
 Work goes in slices of about ``SLICE_BYTES`` of whole texts, so memory does not follow the batch size;
 a longer single text is one slice of its own.
 """
@@ -13,13 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 #: Bytes of words [^\x20\x09-\x0D]+ (every non-ASCII byte belongs to a word).
 SPACED = np.ones(256, dtype=bool)
 SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -33,18 +30,11 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    key = str(base)
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = 1 << max(21, int(n).bit_length())
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
+#: Spans of up to this many bytes are hashed in whole arrays, eight bytes at a time; longer ones one by one.
+SHORT = 64
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that leave the first 0 to 8 bytes of a little-endian 64-bit integer.
+_FRONT = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -60,7 +50,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Texts:
-    """Some whole texts: bytes (after the case table), n + 1 offsets, and hash prefix sums."""
+    """Some whole texts: bytes (after the case table) and n + 1 offsets."""
 
     data: np.ndarray
     offsets: np.ndarray
@@ -69,12 +59,6 @@ class Texts:
     def n(self) -> int:
         return len(self.offsets) - 1
 
-    def prefix(self) -> np.ndarray:
-        """Prefix sums of the polynomial hash, length len(data) + 1."""
-        out = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(self.data)), out=out[1:])
-        return out
-
     def counted(self, table: np.ndarray) -> np.ndarray:
         """Bytes of each text that are in a class table."""
         total = np.zeros(len(self.data) + 1, dtype=np.int64)
@@ -95,10 +79,53 @@ class Words:
         return np.bincount(self.text, minlength=n).astype(np.int64)
 
 
-def span_codes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The bytes as little-endian 64-bit integers, with two more at the end."""
+    out = np.zeros(len(data) // 8 + 3, dtype="<u8")
+    out.view(np.uint8)[: len(data)] = data
+    return out
+
+
+def _eight(wide: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, those beyond the span's end as zeros."""
+    place, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    value = wide[place] >> shift
+    value |= (wide[place + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+    return value & _FRONT[np.minimum(left, 8)]
+
+
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of byte spans, equal for equal bytes wherever they stand."""
-    raw = (prefix[end] - prefix[start]) * _power_table(_INVERSE, len(prefix))[start]
-    return mix64(raw ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+    size = end - start
+    wide = _eights(data)
+    code = _eight(wide, start, size) ^ (size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    for k in range(8, SHORT, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            break
+        code[more] = mix64(code[more]) * _SPREAD ^ _eight(wide, start[more] + k, size[more] - k)
+    code = mix64(code * _SPREAD)
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        body = memoryview(np.ascontiguousarray(data))
+        code[long] = [xxh3_64_intdigest(body[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return code
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether pairs of spans of one size, in two buffers, hold the same bytes."""
+    wide, wide_other = _eights(data), _eights(other)
+    same = np.ones(len(size), dtype=bool)
+    for k in range(0, SHORT, 8):
+        live = np.flatnonzero(same & (size > k))
+        if not len(live):
+            break
+        left = size[live] - k
+        same[live] = _eight(wide, start[live] + k, left) == _eight(wide_other, other_start[live] + k, left)
+    for i in np.flatnonzero(same & (size > SHORT)).tolist():
+        a, b, n = start[i], other_start[i], size[i]
+        same[i] = np.array_equal(data[a + SHORT : a + n], other[b + SHORT : b + n])
+    return same
 
 
 def find_words(texts: Texts, table: np.ndarray, hashed: bool = True) -> Words:
@@ -112,7 +139,7 @@ def find_words(texts: Texts, table: np.ndarray, hashed: bool = True) -> Words:
         closes[:-1] &= ~inside[1:] | first[1:n]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     text = np.searchsorted(texts.offsets, start, side="right") - 1
-    code = span_codes(texts.prefix(), start, end) if hashed else np.zeros(0, dtype=np.uint64)
+    code = span_codes(texts.data, start, end) if hashed else np.zeros(0, dtype=np.uint64)
     return Words(start, end, text, code)
 
 
