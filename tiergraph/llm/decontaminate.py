@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiergraph.llm.tables import map_text, named, others, small_batches
+from tiergraph.llm.tables import map_text, named, others, released, small_batches
 from tiergraph.llm.textops import ALNUM, LOWER, Words, find_words, slices, windows
 
 WINDOW = 10
@@ -123,7 +123,7 @@ def count_shingles(docs: DataFrame, text: str, block: Block) -> dict[int, np.nda
             seen = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k), pa.int32()), pa.array(seen, pa.int64()), pa.array(v[seen], pa.int64())], names=["k", "member", "n"])
 
-    parts = docs.select(F.col(named(text)).cast("string")).mapInArrow(run, "k int, member long, n long")
+    parts = docs.select(F.col(named(text)).cast("string")).mapInArrow(released(run), "k int, member long, n long")
     counts = {k: np.zeros(len(v.codes), dtype=np.int64) for k, v in block.tokens.items()}
     for r in parts.groupBy("k", "member").agg(F.sum("n").alias("n")).collect():  # as many rows as the block has shingles
         counts[r["k"]][r["member"]] = r["n"]
@@ -250,7 +250,7 @@ def gather(docs: DataFrame, text: str, plan: Plan) -> DataFrame:
             columns[marks_at], columns[found_at] = pa.array(marks, pa.binary()), pa.array(found, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def _finish(docs: DataFrame, text: str, keep: list[str] | None) -> DataFrame:
@@ -267,7 +267,7 @@ def _finish(docs: DataFrame, text: str, keep: list[str] | None) -> DataFrame:
             made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([_sha(set(f)) for f in found]), pa.array([n > 0 for n in n_hit])]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + made, names=[*kept, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, item_bytes: int = ITEM_BYTES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of an Arrow batch at most; texts are long, so batches stay small.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch at most; texts are long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,20 +21,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, else one of our own (as in tests)."""
+    """The folder that all machines see: spark.checkpoint.dir; on a single machine, else, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "/tmp/tiergraph-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tiergraph/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tiergraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # a C library without it
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives its worker's freed memory back when it ends, as workers live on."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
 
 
 def others(df: DataFrame, made: list[str]) -> list[str]:
@@ -47,9 +78,9 @@ def named(name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, default, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1), BATCH_BYTES)):
+        if int(spark.conf.get(key, default).rstrip("bB")) > most:
+            spark.conf.set(key, str(most))
 
 
 def map_text(
@@ -82,4 +113,4 @@ def map_text(
             out = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(fn(batch.column(at if at >= 0 else len(keep))), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(kept + [x.cast(t) for x, t in zip(out, arrow, strict=True)], names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(released(run), schema)
