@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tiergraph.llm.tables import named, shared_folder, small_batches
+from tiergraph.llm.tables import named, shared_folder, released, small_batches
 from tiergraph.llm.tokens import encoder
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 128, 90, 1 << 19
@@ -134,7 +134,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(tokenizer, kind)
         for batch in batches:
-            ids = [x + ends for x in model.encode(batch.column(1).to_pylist())]
+            ids = [x + ends for x in model.encode(batch.column(1))]
             where = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             part = np.searchsorted(shared.value, where, side="right").astype(np.int32)
             small = [np.frombuffer(x, dtype=_WIDE) for x in ids]
@@ -170,9 +170,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id: int
         if held:
             yield close()
 
-    encoded = source.mapInArrow(encode, "doc_id bigint, part int, crc bigint, narrow binary, wide binary")
+    encoded = source.mapInArrow(released(encode), "doc_id bigint, part int, crc bigint, narrow binary, wide binary")
     dealt = encoded.repartition(F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "crc")
-    dealt.select("doc_id", "part", "narrow", "wide").mapInArrow(segments, _SEGMENTS).write.option("compression", "none").parquet(path)
+    dealt.select("doc_id", "part", "narrow", "wide").mapInArrow(released(segments), _SEGMENTS).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -202,7 +202,7 @@ def read_ids(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "local", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     schema = "part int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
-    read = files.select("part", "doc_ids", "lengths", "local_start", "n_ids", "starts", "payload").mapInArrow(decode, schema)
+    read = files.select("part", "doc_ids", "lengths", "local_start", "n_ids", "starts", "payload").mapInArrow(released(decode), schema)
     out = read.join(F.broadcast(before), "part").withColumn("start", F.col("local") + F.col("before"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids)
 

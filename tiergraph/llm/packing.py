@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tiergraph.llm.tables import named, small_batches, staged
+from tiergraph.llm.tables import named, released, small_batches, staged
 from tiergraph.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, text: str =
         model = encoder(tokenizer, kind)
         for batch in batches:
             rows: list[tuple] = []
-            for d, body in zip(batch.column(0).to_pylist(), model.encode(batch.column(1).to_pylist()), strict=True):
+            for d, body in zip(batch.column(0).to_pylist(), model.encode(batch.column(1)), strict=True):
                 body += ends
                 for k, (s, n) in enumerate(cut(len(body) // 4, capacity)):
                     own = body[4 * s : 4 * (s + n)]
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, text: str =
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
-    return source.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * ids)
+    return source.mapInArrow(released(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * ids)
 
 
 def place(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
