@@ -1,9 +1,11 @@
 """Connected components of a link table by repeated contraction.
 
-In each round every vertex takes the least of itself and its neighbours as its name and links are renamed;
-links within one name vanish.  The minimum is aggregated before the shuffle, joins on vertices with many
-links are plain equi-joins that the adaptive planner can split, and every round is stored in the shared
-folder, so the plan stays short and a lost executor costs one round at most.
+In each round every vertex takes the name of that one among itself and its neighbours whose hash, another
+one in each round, is the least; links are renamed, and links within one name vanish.  As the order is a
+random one, each round leaves a fixed share of the names on average, on chains as well as on stars, so the
+number of rounds grows with the logarithm of the table.  The minimum is aggregated before the shuffle,
+joins on vertices with many links are plain equi-joins that the adaptive planner can split, and every round
+is stored in the shared folder, so the plan stays short and a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm.tables import staged
+from tiergraph.llm.tables import staged, unstage
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,16 +24,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     live = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     live = staged(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     names: DataFrame | None = None
+    turn = 0
     while True:
-        own = live.select(F.col("a").alias("vertex"), F.col("a").alias("root"))
-        least = own.union(live.select("b", "a")).union(live.select("a", "b")).groupBy("vertex").agg(F.min(F.least("vertex", "root")).alias("root"))
-        least = staged(least, "names")
-        renamed = live.join(least.select(F.col("vertex").alias("a"), F.col("root").alias("ra")), "a").join(least.select(F.col("vertex").alias("b"), F.col("root").alias("rb")), "b")
-        live = staged(renamed.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        ends = live.select(F.explode(F.array(*(F.struct(F.col(x).alias("vertex"), F.col(y).alias("other")) for x in "ab" for y in "ab"))).alias("e")).select("e.*")
+        taken = staged(ends.groupBy("vertex").agg(F.min_by("other", F.struct(F.xxhash64("other", F.lit(turn)), "other")).alias("root")), "names")
+        renamed = live.join(taken.select(F.col("vertex").alias("a"), F.col("root").alias("ra")), "a").join(taken.select(F.col("vertex").alias("b"), F.col("root").alias("rb")), "b")
+        left = staged(renamed.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
         if names is None:
-            names = least
+            names = taken
         else:
-            step = least.select(F.col("vertex").alias("root"), F.col("root").alias("next"))
-            names = staged(names.join(step, "root", "left").select("vertex", F.coalesce("next", "root").alias("root")), "roots")
+            step = taken.select(F.col("vertex").alias("root"), F.col("root").alias("next"))
+            joined = staged(names.join(step, "root", "left").select("vertex", F.coalesce("next", "root").alias("root")), "roots")
+            unstage(names, taken)
+            names = joined
+        unstage(live)
+        live, turn = left, turn + 1
         if live.isEmpty():
-            return names
+            least = names.groupBy("root").agg(F.min("vertex").alias("least"))
+            return staged(names.join(least, "root").select("vertex", F.col("least").alias("root")), "roots")
