@@ -8,12 +8,13 @@ import brute
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_data import SMALL
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tiergraph.llm import binary, chat, decontaminate, extract, jaccard, licenses, mixing, packing, quality, queries, secrets, tokens
+from tiergraph.llm import binary, chat, decontaminate, extract, jaccard, licenses, mixing, packing, quality, queries, secrets, tables, textops, tokens
 from tiergraph.llm.components import components
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +28,27 @@ def by_row(df, *columns):
     return collections.Counter(tuple(r) for r in df.select(*columns).collect())
 
 
+# -- hashes of words -----------------------------------------------------------------
+
+
+def test_hashes():
+    """Long words that polynomial hashes modulo a power of two cannot tell apart, and spans of every length."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    words = [a, b, *("x" * k for k in range(1, 200)), *("x" * k + "y" for k in range(199)), "é" * 40, "\0", "\0\0"]
+    (t,) = textops.slices(pa.array([" ".join(words) + " " + " ".join(reversed(words))]), textops.SAME, 1 << 30)
+    found = textops.find_words(t, textops.SPACED)
+    codes = dict(zip(words, found.code.tolist(), strict=False))
+    assert len(set(codes.values())) == len(words) and found.code[: len(words)].tolist() == found.code[len(words) :].tolist()[::-1]
+    start, size = found.start[: len(words)], found.end[: len(words)] - found.start[: len(words)]
+    back = found.start[len(words) :][::-1]
+    assert textops.same_spans(t.data, start, t.data, back, size).all()
+    other = t.data.copy()
+    other[back + size - 1] ^= 1
+    assert not textops.same_spans(t.data, start, other, back, size).any()
+
+
 # -- quality rules -----------------------------------------------------------------
 
 
@@ -166,7 +188,7 @@ def test_encoder(path, kind, rows):
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for cached in (100, 100_000):
         model = tokens.Encoder(path, kind, cached)
-        assert list(model.encode(texts)) == want and len(model.cache) <= cached
+        assert list(model.encode(texts)) == want and len(model.codes) <= cached
 
 
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5003])
@@ -323,24 +345,58 @@ def test_near_duplicates(docs, rows, odd):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_large_families(spark, monkeypatch):
-    """Families beyond SMALL, strays between them, ties: the second round finds what the first left."""
-    rng = np.random.default_rng(5)
-    rows, n = [], 0
-    for family in range(4):
-        base = [f"f{family}w{i}" for i in range(60)]
-        for _ in range(70):
+def families(rng, n_families, members, words, changes):
+    """Documents of near-copy families, many of whose members link with some others only, or with none."""
+    rows = []
+    for family in range(n_families):
+        base = [f"f{family}w{i}" for i in range(words)]
+        for _ in range(members):
             own = list(base)
-            for _ in range(int(rng.integers(0, 3))):
+            for _ in range(int(rng.integers(0, changes))):
                 own[int(rng.integers(len(own)))] = f"x{rng.integers(10**9)}"
-            rows.append((n, " ".join(own)))
-            n += 1
-    for small in (3, 32):
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("small,hot,block", [(3, 1 << 15, 16), (32, 20, 4096), (32, 1 << 15, 4096)])
+def test_large_families(spark, monkeypatch, small, hot, block):
+    """Families beyond SMALL, dealt-out shingles, several blocks: later rounds find what the first left."""
+    rows = families(np.random.default_rng(5), 4, 70, 60, 4)
+    for name, value in (("SMALL", small), ("HOT", hot), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute.components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 8
+
+
+def test_equal_prefixes(spark, monkeypatch):
+    """Groups of many members: texts that differ in what their prefixes do not hold."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(3):
+        for k in range(30):
+            common = [f"c{family}x{i}" for i in range(80)]
+            for _ in range(int(rng.integers(1, 3))):
+                common[int(rng.integers(len(common)))] = f"y{int(rng.integers(5))}"
+            rows.append((len(rows), " ".join(common)))
+    rows += [(len(rows) + i, " ".join(f"c0x{j}" for j in range(80))) for i in range(40)]
+    for small in (2, 32):
         monkeypatch.setattr(jaccard, "SMALL", small)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
         assert got == brute.components(rows)
 
 
+def test_parity_never_overstates():
+    rng = np.random.default_rng(7)
+    for n in (5, 40, 300, 2000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 5], rng.integers(0, 2**63, n // 7).astype(np.uint64)])
+        x, y = (np.frombuffer(jaccard.parity(c), dtype="<u8") for c in (a, b))
+        least = min(len(x), len(y))
+        distance = int(np.bitwise_count(jaccard.folded(x, least) ^ jaccard.folded(y, least)).sum())
+        assert distance <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     for n, m in ((50, 40), (200, 150)):
@@ -358,6 +414,17 @@ def test_components(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_of_a_chain(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain whose numbers ascend."""
+    from tiergraph.llm import components as module
+
+    stored = []
+    monkeypatch.setattr(module, "staged", lambda df, name: (stored.append(name), tables.staged(df, name))[1])
+    roots = components(spark.range(300).selectExpr("id AS a", "id + 1 AS b"))
+    assert roots.where("root <> 0").isEmpty() and roots.count() == 301
+    assert stored.count("names") <= 20
+
+
 # -- licences ---------------------------------------------------------------------------------
 
 

@@ -5,19 +5,24 @@ sets link when their Jaccard similarity reaches the threshold.  The join is exac
 
 1. A count sketch over the shingles of all documents gives their global order: rare first, ties by hash.
    Any fixed order keeps the prefix filter exact; this one keeps common passages out of prefixes.
-2. Equal sets collapse into one class, and classes with identical prefixes and size into one group.
+2. One pass over the texts stores each document's class (equal sets), its group (identical prefix and
+   size), its prefix, and a parity sketch of its set, two to four bits a shingle.
 3. Groups meet in the buckets of their prefix shingles.  The length bound and the positional bound filter
    group pairs there.  A bucket of at most SMALL groups gives all its pairs; in a larger one each group is
-   paired with one earlier one only, picked by a hash; over the buckets that a family of near copies
-   shares, this links nearly all of it.
-4. Group pairs expand to their members, whose whole sets meet in two sorted merges and are verified.
-5. Components of the links are found.  Then the large buckets are taken up again: in ROUNDS sparse rounds
-   whoever is outside a bucket's main component meets a few of its members, and at last the remaining pairs
-   are verified where, and only where, the two sides are not in one component yet.  So no link that could
-   change a component is lost, and a family of n copies that hang together does not cost n * n pairs.
-
-The sketch has a size bound (2 ** MOST_BITS bytes); sets are only moved for classes in some pair, chosen
-by a bitmap of that same bound.  Nothing else is broadcast, and nothing is collected but these sketches.
+   paired with one earlier one only, picked by a hash.  A shingle with very many rows is dealt out over
+   several buckets, which all count as large.
+4. Group pairs expand to their members.  The distance of two parity sketches is never more than the
+   symmetric difference of the sets, so pairs that are too far apart are dropped without their sets.
+5. The whole sets of what is left are made again from their texts, meet, and are verified; components of
+   the links are found.
+6. Large buckets are taken up again, as far as they hold more than one component: whoever is outside the
+   main one meets all others of the bucket by sketch, in blocks of BLOCK rows.  First the nearest one is
+   verified for each, then every pair left between components.  No link that could change a component
+   is lost; a family of n copies that hang together costs n pairs, and one that does not costs
+   comparisons of sketches inside tasks, not rows.
+
+The count sketch has a size bound (2 ** MOST_BITS bytes), and so has the bitmap that says which texts are
+read again.  Nothing else is broadcast or collected.
 
 Defined cases: null, empty or blank texts have an empty set, link with nothing and are their own component;
 repeated rows are members of one class; rows without a doc_id get a null component, and never lend it to
@@ -34,19 +39,20 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from tiergraph.llm.components import components
-from tiergraph.llm.tables import map_text, named, small_batches, staged
-from tiergraph.llm.textops import LOWER, SPACED, Texts, find_words, mix64, slices, windows
+from tiergraph.llm.tables import named, released, small_batches, staged, unstage
+from tiergraph.llm.textops import LOWER, SAME, SPACED, Texts, find_words, mix64, slices, windows
 
 SIZE = 5
 #: The threshold as a fraction.
 NUM, DEN = 4, 5
-SMALL = 32
-#: Sparse rounds over large buckets before what is left is compared in full; documents to a block of sets.
-ROUNDS, BLOCK_CLASSES = 3, 512
+#: Groups of a bucket that all meet; rows that a dealt-out shingle has in a bucket, roughly; rows of a block.
+SMALL, HOT, BLOCK = 32, 1 << 15, 4096
 LEAST_BITS, MOST_BITS, SLICES = 18, 24, 16
+#: Bits of a parity sketch at least.
+LEAST_WIDTH = 256
 
 
 def shingle_sets(t: Texts, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,19 +84,30 @@ def _sums(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
     return mix64(total[bound[1:]] - total[bound[:-1]] + np.diff(bound).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def prefixes(t: Texts, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: set size, class, group; then (text, place, shingle) of the prefixes."""
-    owner, code = shingle_sets(t)
-    n = np.bincount(owner, minlength=t.n).astype(np.int64)
-    cls = _sums(owner, code, t.n)
+def prefixes(owner: np.ndarray, code: np.ndarray, n: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, shingle) of the prefixes of sets, in the global order."""
     shift = np.uint64(65 - int(len(levels)).bit_length())
     order = np.lexsort((code, levels[(code >> shift).astype(np.int64)], owner))
     place = np.arange(len(code)) - (np.cumsum(n) - n)[owner]
-    length = n - -(-NUM * n // DEN) + 1
-    front = place < length[owner]
-    owner, place, code = owner[front], place[front], code[order][front]
-    group = mix64(_sums(owner, code, t.n) + n.astype(np.uint64))
-    return n, cls.view(np.int64), group.view(np.int64), owner, place, code.view(np.int64)
+    front = place < (n - -(-NUM * n // DEN) + 1)[owner]
+    return owner[front], code[order][front]
+
+
+def parity(code: np.ndarray) -> bytes:
+    """For each of some number of slots, whether an odd number of the set's shingles falls there."""
+    width = LEAST_WIDTH
+    while width < 2 * len(code):
+        width *= 2
+    bits = np.bincount((code & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they would be with fewer slots."""
+    while rows.shape[-1] > words:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
 
 
 def sketch(rows: DataFrame, bits: int, codes) -> np.ndarray:
@@ -121,35 +138,41 @@ def sketch(rows: DataFrame, bits: int, codes) -> np.ndarray:
 
     schema = "slice int, counts binary"
     out = np.zeros(1 << bits, dtype=np.uint8)
-    for r in rows.mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect():  # 2 ** bits bytes
+    for r in rows.mapInArrow(released(count), schema).repartition(SLICES, "slice").mapInArrow(released(add), schema).collect():  # 2 ** bits bytes
         out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint8)
     return out
 
 
-def _fits(n1: int, p1: int, n2: int, p2: int) -> bool:
-    """Length and positional bounds for a pair whose first common prefix shingle has these places."""
-    if NUM * max(n1, n2) > DEN * min(n1, n2):
-        return False
-    return min(n1 - p1, n2 - p2) * (NUM + DEN) >= NUM * (n1 + n2)
+def _fits(n1, p1, n2, p2):
+    """Length and positional bounds for pairs whose first common prefix shingle has these places."""
+    return (NUM * np.maximum(n1, n2) <= DEN * np.minimum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) * (NUM + DEN) >= NUM * (n1 + n2))
+
 
+def _near(distance, n1, n2):
+    """Whether sets of these sizes can reach the threshold if at least so many shingles are in one of them only."""
+    return (NUM + DEN) * distance <= (DEN - NUM) * (n1 + n2)
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows with equal first column of sorted batches, as arrays; only the open run is held.
 
-    Runs of a single row inside a batch are passed over: they make no pairs.
+def _runs(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows with equal first columns of sorted batches, as arrays; only the open run is held.
+
+    Runs of a single row inside a batch are passed over, as they make no pairs; with `alone`, only if the
+    second column is 0.
     """
     held: list[list[np.ndarray]] = []
     for batch in batches:
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         if not len(columns[0]):
             continue
-        edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
+        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])) + 1
         begins, ends = np.append(0, edges), np.append(edges, len(columns[0]))
         wanted = ends - begins > 1
         wanted[[0, -1]] = True  # these may go on in other batches
+        if alone:
+            wanted |= columns[1][begins] != 0
         for a, b in zip(begins[wanted].tolist(), ends[wanted].tolist(), strict=True):
             part = [c[a:b] for c in columns]
-            if held and held[0][0][0] != part[0][0]:
+            if held and any(held[0][k][0] != part[k][0] for k in range(keys)):
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
             held.append(part)
@@ -157,92 +180,83 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _pair_batches(found: Iterator[tuple[int, int, int, int, int]], limit: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Batches (kind, a, b, n, place) without repeats inside a batch."""
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    seen: set[tuple[int, int, int, int, int]] = set()
-    for row in found:
-        seen.add(row)
-        if len(seen) >= limit:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen, strict=True), types, strict=True)], names=["kind", "a", "b", "n", "place"])
-            seen = set()
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*seen, strict=True), types, strict=True)], names=["kind", "a", "b", "n", "place"])
+_FOUND = "kind int, a bigint, b bigint, n bigint, place bigint"
+_PAIR = "a bigint, b bigint"
 
 
-def _ordered(a: int, b: int) -> tuple[int, int]:
-    return (a, b) if a < b else (b, a)
+def _first_pairs(small: int):
+    """From (token, salt, n, place, id) rows sorted by token, salt and n: kind 0 pairs, kind 1 rows of large buckets."""
 
+    def out(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), *(pa.array(x) for x in (a, b, n, place))], names=["kind", "a", "b", "n", "place"])
 
-def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (token, n, place, id) rows sorted by token and n: kind 0 pairs, kind 1 rows of large buckets."""
+    def unique(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.unique(np.concatenate(pairs), axis=0)
+        none = np.zeros(len(own), dtype=np.int64)
+        return out(0, own[:, 0].copy(), own[:, 1].copy(), none, none)
 
-    def found() -> Iterator[tuple[int, int, int, int, int]]:
-        for token, n, place, ident in _runs(batches):
-            if len(ident) < 2:
-                continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[np.ndarray] = []
+        size = 0
+        for token, salt, n, place, ident in _runs(batches, 2, alone=True):
             _, once = np.unique(ident, return_index=True)
             once.sort()
-            if len(once) < 2:
-                continue
-            n, place, ident = n[once].tolist(), place[once].tolist(), ident[once].tolist()
+            n, place, ident = n[once], place[once], ident[once]
             m = len(ident)
-            for i in range(m):
-                if m <= SMALL:
-                    earlier = range(i)
-                else:
-                    yield 1, int(token[0]), ident[i], n[i], place[i]
-                    earlier = ((ident[i] ^ int(token[0])) % i,) if i else ()
-                for j in earlier:
-                    if _fits(n[i], place[i], n[j], place[j]):
-                        yield 0, *_ordered(ident[i], ident[j]), 0, 0
-
-    yield from _pair_batches(found())
-
-
-def _round_pairs(turn: int):
-    """From (token, n, place, id, root) rows of large buckets: each member outside a bucket's main component
-    with two members of that component, picked by a hash that differs from turn to turn."""
+            if salt[0] or m > small:
+                yield out(1, np.full(m, token[0]), ident, n, place)
+                i = np.arange(1, m)
+                j = ((ident[1:] ^ token[0]).view(np.uint64) % i.astype(np.uint64)).astype(np.int64)
+            else:
+                i, j = np.tril_indices(m, -1)
+            good = _fits(n[i], place[i], n[j], place[j])
+            if good.any():
+                x, y = ident[i[good]], ident[j[good]]
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                size += len(x)
+                if size > 100_000:
+                    yield unique(pairs)
+                    pairs, size = [], 0
+        if pairs:
+            yield unique(pairs)
+
+    return released(run)
+
+
+def _meet(nearest: bool):
+    """From (token, rows, side, n, place, id, root, sketch) rows of blocks, in which side 0 meets side 1: pairs of
+    unlike roots that sketches do not rule out, for each row of side 1 the nearest one or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int, int, int, int]]:
-            for token, n, place, ident, root in _runs(batches):
-                kinds, size = np.unique(root, return_counts=True)
-                if len(kinds) < 2:
-                    continue
-                inside = root == kinds[size.argmax()]
-                main = np.flatnonzero(inside)
-                for i in np.flatnonzero(~inside).tolist():
-                    for k in range(2):
-                        j = int(main[(hash((int(ident[i]), int(token[0]), turn, k)) >> 7) % len(main)])
-                        if _fits(int(n[i]), int(place[i]), int(n[j]), int(place[j])):
-                            yield 0, *_ordered(int(ident[i]), int(ident[j])), 0, 0
-
-        yield from _pair_batches(found())
-
-    return run
-
-
-def _second_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (token, n, place, id, root) rows of large buckets sorted by token and n: pairs of unlike roots."""
-
-    def found() -> Iterator[tuple[int, int, int, int, int]]:
-        for _, n, place, ident, root in _runs(batches):
-            kinds, first, size = np.unique(root, return_index=True, return_counts=True)
-            if len(kinds) < 2:
-                continue
-            main = kinds[size.argmax()]
-            rest = np.flatnonzero(root != main)
-            for i in rest.tolist():
-                fits = (NUM * np.maximum(n, n[i]) <= DEN * np.minimum(n, n[i])) & (np.minimum(n - place, n[i] - place[i]) * (NUM + DEN) >= NUM * (n + n[i])) & (root != root[i])
-                fits &= (root == main) | (ident < ident[i])
-                for j in np.flatnonzero(fits).tolist():
-                    yield 0, *_ordered(int(ident[i]), int(ident[j])), 0, 0
-
-    yield from _pair_batches(found())
-
+        for _, _, side, n, place, ident, root, sk in _runs(batches, 2):
+            words = np.array([len(x) // 8 for x in sk])
+            # Members by the width of their sketches, so that one operation compares a row with all of them.
+            members = {w: np.flatnonzero((side == 0) & (words == w)) for w in np.unique(words[side == 0]).tolist()}
+            table: dict[tuple[int, int], np.ndarray] = {}
+            found: list[tuple[int, int]] = []
+            for i in np.flatnonzero(side == 1).tolist():
+                best: list[tuple[int, int]] = []
+                for w, at in members.items():
+                    if not words[i] // 2 <= w <= words[i] * 2:
+                        continue  # sizes too far apart for a link
+                    least = min(w, int(words[i]))
+                    if (w, least) not in table:
+                        table[w, least] = folded(np.frombuffer(b"".join(sk[at]), dtype="<u8").reshape(-1, w), least)
+                    fits = _fits(n[at], place[at], n[i], place[i]) & (root[at] != root[i])
+                    live = np.flatnonzero(fits)
+                    if not len(live):
+                        continue
+                    own = folded(np.frombuffer(sk[i], dtype="<u8"), least)
+                    distance = np.bitwise_count(table[w, least][live] ^ own).sum(1, dtype=np.int64)
+                    near = _near(distance, n[at[live]], n[i])
+                    best.extend(zip(distance[near].tolist(), at[live[near]].tolist(), strict=True))
+                found.extend((i, j) for _, j in ([min(best)] if nearest and best else best))
+            if found:
+                i, j = np.array(found).T
+                own = np.unique(np.stack([np.minimum(ident[i], ident[j]), np.maximum(ident[i], ident[j])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], names=["a", "b"])
 
-_PAIRS = "kind int, a bigint, b bigint, n bigint, place bigint"
+    return released(run)
 
 
 class _Join:
@@ -253,165 +267,197 @@ class _Join:
         small_batches(self.spark)
         self.docs = docs.select(F.col(named(doc_id)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text"))
         self.texts = self.docs.select("text")
-        n = self.docs.count()
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
-        self.blocks = max(1, n // BLOCK_CLASSES)
-        self.levels: Broadcast = self.spark.sparkContext.broadcast(sketch(self.texts, self.bits, lambda batch: (shingle_sets(t)[1] for t in slices(batch.column(0), LOWER))))
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (8 * docs.count()).bit_length()))
+        levels = sketch(self.texts, self.bits, lambda batch: (shingle_sets(t)[1] for t in slices(batch.column(0), LOWER)))
+        self.levels: Broadcast = self.spark.sparkContext.broadcast(levels)
 
     def classes(self) -> DataFrame:
-        """(doc_id, n_shingles, cls, grp); class and group are null for empty sets."""
-        levels = self.levels
-
-        def fn(column: pa.Array) -> list:
-            parts = [prefixes(t, levels.value)[:3] for t in slices(column, LOWER)]
-            n, cls, grp = (np.concatenate(x) if parts else np.zeros(0, dtype=np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 3
-            return [n, pa.array(cls, mask=n == 0), pa.array(grp, mask=n == 0)]
+        """(doc_id, th, n, cls, grp, prefix, sketch) of all documents; the last four are null for empty sets.
 
-        return map_text(self.docs, "text", fn, [("n_shingles", T.LongType()), ("cls", T.LongType()), ("grp", T.LongType())], ["doc_id"])
-
-    def tokens(self) -> DataFrame:
-        """(token, n, place, grp) of the prefixes, each group once per task."""
+        th tells equal texts.  A task gives the prefix of a group and the sketch of a class once.
+        """
         levels = self.levels
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
+            groups: set[int] = set()
+            known: set[int] = set()
             for batch in batches:
-                for t in slices(batch.column(0), LOWER):
-                    n, _, grp, owner, place, code = prefixes(t, levels.value)
-                    fresh = np.zeros(t.n, dtype=bool)
-                    for i, g in enumerate(grp.tolist()):
-                        if g not in seen:
-                            seen.add(g)
-                            fresh[i] = True
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    live = fresh[owner]
-                    own = owner[live]
-                    yield pa.RecordBatch.from_arrays([pa.array(code[live]), pa.array(n[own]), pa.array(place[live]), pa.array(grp[own])], names=["token", "n", "place", "id"])
+                doc_ids, at = batch.column(0), 0
+                for raw in slices(batch.column(1), SAME):
+                    body = memoryview(raw.data)
+                    th = np.array([xxh3_64_intdigest(body[a:b]) for a, b in zip(raw.offsets[:-1].tolist(), raw.offsets[1:].tolist(), strict=True)], dtype=np.uint64)
+                    t = Texts(LOWER[raw.data], raw.offsets)
+                    owner, code = shingle_sets(t)
+                    n = np.bincount(owner, minlength=t.n).astype(np.int64)
+                    cls = _sums(owner, code, t.n).view(np.int64)
+                    front, shingle = prefixes(owner, code, n, levels.value)
+                    grp = mix64(_sums(front, shingle, t.n) + n.astype(np.uint64)).view(np.int64)
+                    bound, cut = np.searchsorted(owner, np.arange(t.n + 1)).tolist(), np.searchsorted(front, np.arange(t.n + 1)).tolist()
+                    prefix, parities = [None] * t.n, [None] * t.n
+                    for i, (many, c, g) in enumerate(zip(n.tolist(), cls.tolist(), grp.tolist(), strict=True)):
+                        if many and c not in known:
+                            known.add(c)
+                            parities[i] = parity(code[bound[i] : bound[i + 1]])
+                            if g not in groups:
+                                groups.add(g)
+                                prefix[i] = shingle[cut[i] : cut[i + 1]].tobytes()
+                    if len(known) > 200_000:
+                        known.clear()
+                        groups.clear()
+                    columns = [doc_ids[at : at + t.n], pa.array(th.view(np.int64)), pa.array(n), pa.array(cls, mask=n == 0), pa.array(grp, mask=n == 0), pa.array(prefix, pa.binary()), pa.array(parities, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "cls", "grp", "prefix", "sketch"])
+                    at += t.n
+
+        return self.docs.mapInArrow(released(run), "doc_id bigint, th bigint, n bigint, cls bigint, grp bigint, prefix binary, sketch binary")
+
+    def tokens(self, known: DataFrame) -> DataFrame:
+        """(token, salt, n, place, id) of the prefixes; shingles with very many rows get salts from 1 on."""
+        levels, bits, hot = self.levels, self.bits, HOT
 
-        return self.texts.mapInArrow(run, "token bigint, n bigint, place bigint, id bigint")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            count = np.where(levels.value > 0, np.exp2((levels.value.astype(np.float64) - 1) / 8), 0)
+            parts = np.where(count > hot + 2 * count.mean(), np.ceil(count / hot), 1).astype(np.uint64)
+            for batch in batches:
+                held = batch.column(0).to_pylist()
+                if not held:
+                    continue
+                many = np.array([len(x) // 8 for x in held])
+                owner = np.repeat(np.arange(len(held)), many)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+                code = np.frombuffer(b"".join(held), dtype=np.uint64)
+                n, ident = (batch.column(i).to_numpy()[owner] for i in (1, 2))
+                part = parts[(code >> np.uint64(64 - bits)).astype(np.int64)]
+                salt = np.where(part > 1, 1 + mix64(ident.view(np.uint64)) % part, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code.view(np.int64), salt, n, place, ident)], names=["token", "salt", "n", "place", "id"])
+
+        return known.where("prefix IS NOT NULL").select("prefix", "n", "grp").mapInArrow(released(run), "token bigint, salt int, n bigint, place bigint, id bigint")
 
-    def sets(self, wanted: np.ndarray, bits: int) -> DataFrame:
-        """(cls, codes) of the classes whose slot is wanted, each class once per task."""
-        shared = self.spark.sparkContext.broadcast(np.packbits(wanted > 0))
+    def sets(self, wanted: np.ndarray) -> DataFrame:
+        """(cls, codes) of the texts whose slot is wanted, each class once per task."""
+        shared, bits = self.spark.sparkContext.broadcast(np.packbits(wanted > 0)), self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = np.unpackbits(shared.value).astype(bool)
             seen: set[int] = set()
             for batch in batches:
-                for t in slices(batch.column(0), LOWER):
-                    owner, code = shingle_sets(t)
-                    bound = np.searchsorted(owner, np.arange(t.n + 1))
-                    cls = _sums(owner, code, t.n)
-                    named_, held = [], []
-                    for i in np.flatnonzero(slots[(cls >> np.uint64(64 - bits)).astype(np.int64)] & (np.diff(bound) > 0)).tolist():
-                        c = int(cls[i].view(np.int64))
-                        if c not in seen:
-                            seen.add(c)
-                            named_.append(c)
-                            held.append(code[bound[i] : bound[i + 1]].tobytes())
-                    if len(seen) > 1_000_000:
+                for raw in slices(batch.column(0), SAME):
+                    body = memoryview(raw.data)
+                    bound = raw.offsets.tolist()
+                    th = [xxh3_64_intdigest(body[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)]
+                    live = [i for i, h in enumerate(th) if slots[h >> (64 - bits)] and h not in seen]
+                    if not live:
+                        continue
+                    seen.update(th[i] for i in live)
+                    if len(seen) > 200_000:
                         seen.clear()
-                    if named_:
-                        yield pa.RecordBatch.from_arrays([pa.array(named_, pa.int64()), pa.array(held, pa.binary())], names=["cls", "codes"])
+                    offsets = np.cumsum([0, *(bound[i + 1] - bound[i] for i in live)])
+                    t = Texts(LOWER[np.concatenate([raw.data[bound[i] : bound[i + 1]] for i in live])], offsets)
+                    owner, code = shingle_sets(t)
+                    cut = np.searchsorted(owner, np.arange(t.n + 1)).tolist()
+                    cls = _sums(owner, code, t.n).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([code[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["cls", "codes"])
 
-        return self.texts.mapInArrow(run, "cls bigint, codes binary")
+        return self.texts.mapInArrow(released(run), "cls bigint, codes binary")
 
-    def keep_sets(self, classes: DataFrame) -> None:
-        """Store the whole sets of these classes (and of some more) for verification."""
-        wanted = sketch(classes, self.bits, lambda batch: [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-        block = F.pmod(F.col("cls"), F.lit(self.blocks))
-        self.held = staged(self.sets(wanted, self.bits).withColumn("block", block), "sets")
+    def keep(self, known: DataFrame, classes: DataFrame) -> DataFrame:
+        """(cls, codes): the whole sets of these classes (and of some more), stored."""
+        texts = known.select("cls", "th").join(classes, "cls", "left_semi").groupBy("cls").agg(F.min("th").alias("th")).select("th")
+        wanted = sketch(texts, self.bits, lambda batch: [batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+        return staged(self.sets(wanted).groupBy("cls").agg(F.first("codes").alias("codes")), "sets")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes whose whole sets reach the threshold.
 
-        A set goes once to the pairs that it opens, and from there once to each block of classes that it
-        is compared with, however many of them are in the block.
-        """
-        none = F.lit(None).cast("binary")
-        opens = self.held.select("cls", F.lit(0).alias("side"), "block", F.lit(None).cast("bigint").alias("other"), "codes")
-        asks = pairs.select(F.col("a").alias("cls"), F.lit(1).alias("side"), F.pmod(F.col("b"), F.lit(self.blocks)).alias("block"), F.col("b").alias("other"), none.alias("codes"))
+def _near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that the sketches do not rule out."""
 
-        def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cls = codes = None
-            for batch in batches:
-                out: dict[tuple[int, int], list] = {}
-                for c, side, block, other, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                    if side == 0:
-                        if c != cls:
-                            cls, codes = c, body
-                    elif c == cls:
-                        out.setdefault((block, c), [codes, []])[1].append(other)
-                if out:
-                    columns = [[k[0] for k in out], [k[1] for k in out], [v[1] for v in out.values()], [v[0] for v in out.values()]]
-                    types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["block", "cls", "others", "codes"])
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, sets = None, {}
-            for batch in batches:
-                a, b = [], []
-                for block, _, c, others, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                    if block != at:
-                        at, sets = block, {}
-                    own = np.frombuffer(body, dtype=np.uint64)
-                    if others is None:
-                        sets[c] = own
-                        continue
-                    for other in others:
-                        if other not in sets:
-                            continue
-                        both = np.sort(np.concatenate([own, sets[other]]), kind="stable")
-                        shared = int((both[1:] == both[:-1]).sum())
-                        if DEN * shared >= NUM * (len(both) - shared):
-                            a.append(c)
-                            b.append(other)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n1, one, n2, two in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                x, y = np.frombuffer(one, dtype="<u8"), np.frombuffer(two, dtype="<u8")
+                least = min(len(x), len(y))
+                good.append(bool(_near(int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum()), n1, n2)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        halfway = opens.union(asks).repartition(F.col("cls")).sortWithinPartitions("cls", "side", "block").mapInArrow(attach, "block bigint, cls bigint, others array<bigint>, codes binary")
-        needed = self.held.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi")
-        blocks = needed.select("block", F.lit(0).alias("side"), "cls", F.lit(None).cast("array<bigint>").alias("others"), "codes")
-        rows = blocks.union(halfway.select("block", F.lit(1).alias("side"), "cls", "others", "codes"))
-        return rows.repartition(F.col("block")).sortWithinPartitions("block", "side").mapInArrow(compare, "a bigint, b bigint")
+    a, b = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "sa", "nb", "sb")
+    return met.mapInArrow(released(run), _PAIR)
 
 
-def _bucketed(rows: DataFrame, fn) -> DataFrame:
-    return rows.repartition(F.col("token")).sortWithinPartitions("token", "n", "id").mapInArrow(fn, _PAIRS)
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of classes whose whole sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.sort(np.concatenate([np.frombuffer(one, dtype=np.uint64), np.frombuffer(two, dtype=np.uint64)]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                good.append(DEN * shared >= NUM * (len(both) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    met = pairs.join(sets.toDF("a", "ca"), "a").join(sets.toDF("b", "cb"), "b").select("a", "b", "ca", "cb")
+    return met.mapInArrow(released(run), _PAIR)
+
+
+def _bucketed(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id").mapInArrow(_first_pairs(SMALL), _FOUND)
+
+
+def _between(rows: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs between components inside large buckets, from (token, n, place, id) rows."""
+    rooted = rows.join(roots.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    parts = rooted.groupBy("token", "root").agg(F.count("*").alias("m"))
+    buckets = parts.groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("rows"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
+    live = rooted.join(buckets, "token").join(sketches.select(F.col("cls").alias("id"), "sketch"), "id")
+    spread = F.xxhash64("id")
+    n_rows, n_outside = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("rows", "outside"))
+    own, other = F.pmod(spread, n_rows.cast("long")).cast("int"), F.pmod(spread, n_outside.cast("long")).cast("int")
+    # Every row meets every block of outsiders, and each outsider every block of rows.
+    all_rows = live.withColumn("outer", F.explode(F.sequence(F.lit(0), n_outside - 1))).withColumn("block", own * n_outside + F.col("outer")).withColumn("side", F.lit(0))
+    outsiders = live.where("root <> main").withColumn("inner", F.explode(F.sequence(F.lit(0), n_rows - 1))).withColumn("block", F.col("inner") * n_outside + other).withColumn("side", F.lit(1))
+    columns = ["token", "block", "side", "n", "place", "id", "root", "sketch"]
+    blocks = all_rows.select(*columns).union(outsiders.select(*columns)).repartition("token", "block").sortWithinPartitions("token", "block")
+    return blocks.mapInArrow(_meet(nearest), _PAIR).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     join = _Join(docs, text, doc_id)
     known = staged(join.classes(), "classes")
-    members = staged(known.where("cls IS NOT NULL").select("grp", "cls", F.col("n_shingles").alias("n")).distinct(), "members")
+    members = known.where("cls IS NOT NULL").select("grp", "cls", "n").distinct()
+    many = members.groupBy("grp").agg(F.count("*").alias("many"))
+    members = staged(members.join(many, "grp"), "members")
 
-    found = staged(_bucketed(join.tokens(), _first_pairs), "pairs")
-    large = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), "n", "place")
-    groups = found.where("kind = 0").select("a", "b").distinct()
-    side = members.select("grp", "cls")
-    across = groups.join(side.toDF("a", "ca"), "a").join(side.toDF("b", "cb"), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    found = staged(_bucketed(join.tokens(known)), "found")
     # Members of one group are candidates of each other: a bucket of their own.
-    shared = members.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")
-    inner = members.join(shared, "grp").select(F.col("grp").alias("token"), "n", F.lit(0).cast("bigint").alias("place"), F.col("cls").alias("id"))
-    within = staged(_bucketed(inner, _first_pairs), "pairs")
-    pairs = staged(across.union(within.where("kind = 0").select("a", "b")).distinct(), "pairs")
+    inner = members.where("many > 1").select(F.col("grp").alias("token"), F.lit(0).alias("salt"), "n", F.lit(0).cast("bigint").alias("place"), F.col("cls").alias("id"))
+    within = staged(_bucketed(inner), "found")
+    side = members.select("grp", "cls", "n", "many")
+    met = found.where("kind = 0").select("a", "b").distinct().join(side.toDF("a", "ca", "na", "ma"), "a")
+    few = met.join(many.toDF("b", "mb"), "b").where(F.col("ma") * F.col("mb") <= SMALL * SMALL).select("a", "b", "ca")
+    across = few.join(side.toDF("b", "cb", "nb", "mb"), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    tried = staged(across.union(within.where("kind = 0").select("a", "b")).distinct(), "pairs")
+    # Two groups with too many pairs of members are a large bucket; so are the buckets of many groups.
+    wide = found.where("kind = 0").select("a", "b").distinct().join(many.toDF("a", "ma"), "a").join(many.toDF("b", "mb"), "b").where(F.col("ma") * F.col("mb") > SMALL * SMALL)
+    wide = wide.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array("a", "b")).alias("grp"), F.lit(0).cast("bigint").alias("place"))
+    large = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), "place").union(wide.select("token", "grp", "place"))
     rows = large.join(side, "grp").select("token", "n", "place", F.col("cls").alias("id"))
-    rows = staged(rows.union(within.where("kind = 1").select("a", "n", "place", "b")), "large")
-    join.keep_sets(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(rows.select("id")).distinct())
-    links = staged(join.verify(pairs), "links")
+    rows = staged(rows.union(within.where("kind = 1").select(F.col("a").alias("token"), "n", "place", F.col("b").alias("id"))), "large")
+    unstage(found, within)
+
+    paired = tried.select(F.col("a").alias("cls")).union(tried.select("b")).union(rows.select("id")).distinct()
+    sketches = staged(known.where("sketch IS NOT NULL").select("cls", "n", "sketch").join(paired, "cls", "left_semi").groupBy("cls", "n").agg(F.first("sketch").alias("sketch")), "sketches")
+    near = staged(_near_pairs(tried, sketches), "near")
+    sets = join.keep(known, near.select(F.col("a").alias("cls")).union(near.select("b")).union(rows.select("id")).distinct())
+    links = staged(_verified(near, sets), "links")
     roots = components(links)
-
-    # Large buckets again: first a few pairs for whoever is outside, then all that is left between components.
-    for turn in range(ROUNDS + 1 if not rows.isEmpty() else 0):
-        rooted = rows.join(roots.withColumnRenamed("vertex", "id"), "id", "left").select("token", "n", "place", "id", F.coalesce("root", "id").alias("root"))
-        step = _round_pairs(turn) if turn < ROUNDS else _second_pairs
-        fresh = staged(_bucketed(rooted, step).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # Large buckets again: first the nearest partner of whoever is outside, then all that is left between components.
+    for nearest in (True, False) if not rows.isEmpty() else ():
+        fresh = staged(_between(rows, roots, sketches, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             continue
-        pairs = pairs.union(fresh)
-        more = staged(join.verify(fresh), "links")
+        tried = tried.union(fresh)
+        more = staged(_verified(fresh, sets), "links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)
@@ -419,7 +465,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     least = known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = staged(least, "least")
     top = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named_ = least.join(top, "root").select("cls", "component_id")
-    out = known.join(named_, "cls", "left")
+    out = known.select("doc_id", "n", "cls").join(least.join(top, "root").select("cls", "component_id"), "cls", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
