@@ -8,8 +8,9 @@ Lines without any candidate token (see _CANDIDATE) and without a cue word hold p
 those the all-outside sequence is optimal whenever no plain token can gain by another tag, which
 `Model.plain_is_outside` proves from the trained weights; such lines are then skipped without decoding.
 
-Spans are in code points, end exclusive.  A span of the field that overlaps a pattern's span is dropped,
-as the pattern has told of it already.
+Spans are in code points, end exclusive.  A secret begins with a begin tag: a tag inside cannot follow one
+outside, or start a line.  A span of the field that lies within a pattern's span is dropped, as the pattern
+has told of it already; one that reaches beyond it stays beside it, and redaction masks their union.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows get the same spans each; an
 empty table gives an empty result; input columns named like the operator's own are replaced; texts and
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from tiergraph.llm.tables import map_text, named, others
 
 #: Labelled lines that the field is fitted on (its bound), the seed they are made from, and ascent steps.
-SAMPLE_LINES, SEED, STEPS = 1000, 20, 100
+SAMPLE_LINES, SEED, STEPS = 1500, 20, 100
 
 #: The three base patterns and the characters that each needs.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -41,11 +42,13 @@ KINDS = ("assign", "access", "hex", "crf")
 
 CUES = frozenset("password passwd pwd pass secret token api apikey key credential credentials auth bearer private access authorization".split())
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
-_CANDIDATE = re.compile(r"[A-Za-z0-9]*(?:[0-9][A-Za-z]|[A-Za-z][0-9])[A-Za-z0-9]*|[A-Za-z0-9]{24,}|[0-9]{8,}|[A-Za-z0-9]*[a-z][A-Z][A-Za-z0-9]*|[-=_+]")
+_CANDIDATE = re.compile(r"[A-Za-z0-9]*(?:[0-9][A-Za-z]|[A-Za-z][0-9])[A-Za-z0-9]*|[A-Za-z0-9]{24,}|[0-9]{8,}|[A-Za-z0-9]*(?:[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z]{14})[A-Za-z0-9]*|[-=_+]")
 _CUE = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(sorted(CUES, key=len, reverse=True)) + r")(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
-_ODD = re.compile(r"[0-9]|[-=_+]|[a-z][A-Z]|[A-Za-z0-9]{24,}")
+_ODD = re.compile(r"[0-9]|[-=_+]|[a-z][A-Z]|[A-Z]{2}[a-z]|[A-Z]{14}|[A-Za-z0-9]{24,}")
 
 OUT, BEGIN, IN = 0, 1, 2
+#: The weight of what no tagging may do.
+NEVER = -60.0
 
 RESULT = [
     ("n_assign", T.LongType()),
@@ -102,9 +105,9 @@ def features(tokens: list[str], facts: tuple[str, ...]) -> list[list[str]]:
     return out
 
 
-def _sample() -> list[tuple[list[str], list[int], tuple[str, ...]]]:
+def _sample(n_lines: int = SAMPLE_LINES, seed: int = SEED) -> list[tuple[list[str], list[int], tuple[str, ...]]]:
     """Synthetic labelled lines: prose, plain numbers and identifiers, and secrets of several makes."""
-    rng = random.Random(SEED)
+    rng = random.Random(seed)
     parts = "the of and to er in on that re sch ung keit ent que les eau ion ado os ez ar ment ou th nd".split()
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     mixed = letters + letters.upper() + digits
@@ -130,6 +133,11 @@ def _sample() -> list[tuple[list[str], list[int], tuple[str, ...]]]:
             ]
         )()
 
+    def chosen() -> str:
+        """What a person might take as a password; only a cue word tells of it."""
+        w = "".join(rng.choice(parts) for _ in range(rng.randint(2, 3)))
+        return w + run(digits, 1, 4) + rng.choice(["", rng.choice("!?#$%*"), "".join(rng.choice(parts) for _ in range(2)) + rng.choice(["", "!"])])
+
     def harmless() -> str:
         return rng.choice(
             [
@@ -144,11 +152,19 @@ def _sample() -> list[tuple[list[str], list[int], tuple[str, ...]]]:
                 lambda: f"{rng.choice(sorted(CUES))} {word()} {word()}",
                 lambda: run(digits, 16, 16),
                 lambda: word() * 3 + word(),
+                lambda: "-".join(run("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12)),
+                lambda: f"data:image/png;base64,iVBORw0KGgo{run(mixed + '+/', 40, 120)}=",
+                lambda: f"https://{word()}.example.com/{word()}/{run(mixed, 8, 24)}",
+                lambda: f"https://{word()}.example.com/{word()}?id={run(mixed, 6, 16)}&ref={word()}",
+                lambda: f"{word()}_{word()}{run(digits, 1, 2)}({word()})",
+                lambda: (word() + rng.choice(["", word()])).upper() + rng.choice(["", "s", word().lower()]),
+                lambda: (word() * rng.randint(1, 3)).upper(),
+                lambda: rng.choice("!?#$%*&();") + rng.choice(["", " " + word()]),
             ]
         )()
 
     lines = []
-    for k in range(SAMPLE_LINES):
+    for k in range(n_lines):
         tokens: list[str] = []
         tags: list[int] = []
 
@@ -159,14 +175,14 @@ def _sample() -> list[tuple[list[str], list[int], tuple[str, ...]]]:
 
         for _ in range(rng.randint(1, 8)):
             put(word())
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, 3)):
             put(harmless())
-            put(word())
+            put(word() + rng.choice(["", "", "", "!", "?", ";", ","]))
         if k % 2:
-            style = rng.randint(0, 5)
+            style = rng.randint(0, 6)
             cue = rng.choice(sorted(CUES))
-            put({0: f"{cue} =", 1: f"{cue}:", 2: f'"{cue}": "', 3: f"{cue} is", 4: f"{word()}_{cue} = '", 5: ""}[style])
-            put(secret(), hidden=True)
+            put({0: f"{cue} =", 1: f"{cue}:", 2: f'"{cue}": "', 3: f"{cue} is", 4: f"{word()}_{cue} = '", 5: "", 6: cue}[style])
+            put(chosen() if style != 5 and (style == 6 or rng.random() < 0.3) else secret(), hidden=True)
             put({2: '"', 4: "'"}.get(style, ""))
         for _ in range(rng.randint(0, 6)):
             put(word())
@@ -180,24 +196,41 @@ class Model:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, step: np.ndarray, start: np.ndarray):
         self.index, self.emit, self.step, self.start = index, emit, step, start
-
-    def scores(self, tokens: list[str], facts: tuple[str, ...]) -> np.ndarray:
-        out = np.zeros((len(tokens), 3))
-        for i, names in enumerate(features(tokens, facts)):
-            out[i] = self.emit[[self.index[f] for f in names if f in self.index]].sum(0)
+        self.weight = {f: tuple(emit[i].tolist()) for f, i in index.items()}
+
+    def scores(self, tokens: list[str], facts: tuple[str, ...]) -> list[tuple[float, float, float]]:
+        """What the features of each token say for the three tags."""
+        get, none = self.weight.get, (0.0, 0.0, 0.0)
+        out = []
+        for names in features(tokens, facts):
+            x = y = z = 0.0
+            for f in names:
+                a, b, c = get(f, none)
+                x, y, z = x + a, y + b, z + c
+            out.append((x, y, z))
         return out
 
-    def viterbi(self, emit: np.ndarray) -> list[int]:
-        best = self.start + emit[0]
+    def viterbi(self, emit: list[tuple[float, float, float]]) -> list[int]:
+        steps = [tuple(self.step[:, t].tolist()) for t in (OUT, BEGIN, IN)]
+        best = [s + e for s, e in zip(self.start.tolist(), emit[0], strict=True)]
         back = []
         for row in emit[1:]:
-            ways = best[:, None] + self.step
-            back.append(ways.argmax(0))
-            best = ways.max(0) + row
-        tag = int(best.argmax())
+            o, b, i = best
+            now, came = [], []
+            for e, (so, sb, si) in zip(row, steps, strict=True):
+                top, at = o + so, OUT
+                if b + sb > top:
+                    top, at = b + sb, BEGIN
+                if i + si > top:
+                    top, at = i + si, IN
+                now.append(top + e)
+                came.append(at)
+            best = now
+            back.append(came)
+        tag = best.index(max(best))
         path = [tag]
-        for b in reversed(back):
-            tag = int(b[tag])
+        for came in reversed(back):
+            tag = came[tag]
             path.append(tag)
         return path[::-1]
 
@@ -207,46 +240,45 @@ class Model:
         if not pieces:
             return []
         spans: list[list[int]] = []
-        before = OUT
         for m, t in zip(pieces, self.viterbi(self.scores([m[0] for m in pieces], facts)), strict=True):
             if t == BEGIN:
                 spans.append([m.start(), m.end()])
-            elif t == IN and before != OUT:
+            elif t == IN:
                 spans[-1][1] = m.end()
-            before = t
         return [(a, b) for a, b in spans]
 
     def plain_is_outside(self) -> bool:
         """Whether no stretch of plain tokens can gain by tags other than outside.
 
-        A plain token of some shape gains at most the sum, over the kinds of features, of the best gain
-        that kind can give to its shape beside plain neighbours.  A stretch pays for entering once, and
-        for each further token at most the best transition among the tags of a secret.
+        The features of a plain token beside plain ones depend on its shape and its neighbours' shapes, and on
+        the file's facts.  So the gain of a stretch over all-outside is the weight of a path through shapes
+        and tags; the heaviest path is found by relaxation, and if it never ends the answer is no.
         """
-        plain = {f"{n}{k}" for n in "1sml" for k in "aA"} | {"19", "s9"}
-        marks = {"p" + c for c in ":\"'./@,|<>?"}
-        gain = (self.emit[:, 1:] - self.emit[:, :1]).max(1)
-        best: dict[tuple[str, str], float] = {}
-        for f, i in self.index.items():
-            kind, _, value = f.partition("=")
-            one, _, two = value.rpartition("|") if value != "|" else ("", "", value)
-            own, other = (one, two) if kind == "n" else (two, one)
-            if kind in "sw" or f == "bias":
-                own, other = (value if kind == "s" else ""), ""
-            if kind == "w" and value == "cue" or kind == "c" and other != "-" or kind in "pn" and other not in plain | marks | {"^", "$"}:
-                continue
-            key = (kind + other if kind == "f" else kind, own)
-            best[key] = max(best.get(key, -np.inf if kind not in "pn" else 0.0), float(gain[i]))
-        # The two values of each file fact exclude one another.
-        for own in {o for k, o in best if k[0] == "f"}:
-            for pair in (("fcode", "fprose"), ("fassigns", "ffew")):
-                best[pair[0], own] = max(best.pop((pair[0], own), 0.0), best.pop((pair[1], own), 0.0))
-        shapes = plain | marks
-        common = sum(v for (k, o), v in best.items() if not o)
-        most = max(common + sum(v for (k, o), v in best.items() if o == shape) for shape in shapes)
-        more = float((self.step[1:, 1:] - self.step[OUT, OUT]).max())
-        enter = max(float((self.step[OUT, 1:] - self.step[OUT, OUT]).max()), float((self.start[1:] - self.start[OUT]).max()))
-        return most + max(0.0, more) < 0 and most + enter < 0
+        shapes = [f"{n}{k}" for n in "1sm" for k in "aA"] + ["la", "19", "s9", *("p" + c for c in ":\"'./@,|<>?")]
+        zero = np.zeros(2)
+
+        def gain(f: str) -> np.ndarray:
+            row = self.emit[self.index[f]] if f in self.index else np.zeros(3)
+            return row[1:] - row[0]
+
+        after = np.array([[gain(f"p={x}|{y}") for y in shapes] for x in [*shapes, "^"]])  # shape before, shape, tag
+        ahead = np.array([[gain(f"n={x}|{y}") for y in [*shapes, "$"]] for x in shapes])  # shape, shape ahead, tag
+        step = self.step - self.step[OUT, OUT]
+        for facts in ((a, b) for a in ("code", "prose") for b in ("assigns", "few")):
+            node = np.array([sum((gain(f) for f in ("bias", "w=-", f"s={x}", f"c=-|{x}", f"f={facts[0]}|{x}", f"f={facts[1]}|{x}")), zero) for x in shapes])
+            enter = np.maximum(after[:-1].max(0) + step[OUT, 1:], after[-1] + self.start[1:] - self.start[OUT])
+            best = node + enter
+            for turn in range(2 * len(shapes) + 1):
+                ways = (best[:, None, :] + ahead[:, :-1])[..., None] + step[1:, 1:] + after[:-1, :, None, :]  # from, to, tag from, tag to
+                now = np.maximum(best, ways.max((0, 2)) + node)
+                if np.allclose(now, best, atol=1e-12):
+                    break
+                best = now
+            else:
+                return False
+            if (best + np.maximum(ahead[:, :-1].max(1) + step[1:, OUT], ahead[:, -1])).max() >= 0:
+                return False
+        return True
 
 
 @lru_cache(maxsize=1)
@@ -266,7 +298,7 @@ def trained() -> Model:
         tags[i, : len(y)] = y
         live[i, : len(y)] = True
     weights = {"emit": np.zeros((pad + 1, 3)), "step": np.zeros((3, 3)), "start": np.zeros(3)}
-    weights["step"][OUT, IN] = weights["start"][IN] = -4.0
+    weights["step"][OUT, IN] = weights["start"][IN] = NEVER
     first, second = {k: np.zeros_like(v) for k, v in weights.items()}, {k: np.zeros_like(v) for k, v in weights.items()}
     gold = np.eye(3)[tags] * live[..., None]
     pairs = live[:, 1:]
@@ -294,6 +326,7 @@ def trained() -> Model:
             second[k] = 0.99 * second[k] + 0.01 * g * g
             w += 0.12 * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-8)
         weights["emit"][pad] = 0
+        weights["step"][OUT, IN] = weights["start"][IN] = NEVER
     return Model(index, weights["emit"][:pad], weights["step"], weights["start"])
 
 
@@ -311,7 +344,7 @@ def crf_spans(text: str, model: Model, skip: bool = True) -> list[tuple[int, int
 def all_spans(text: str, model: Model, skip: bool) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The patterns' spans, and these together with the field's."""
     base = base_spans(text)
-    more = [(a, b, "crf") for a, b in crf_spans(text, model, skip) if not any(a < y and x < b for x, y, _ in base)]
+    more = [(a, b, "crf") for a, b in crf_spans(text, model, skip) if not any(x <= a and b <= y for x, y, _ in base)]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -358,6 +391,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
 
 def _masked(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
+    """The text with a mark in place of each stretch that spans cover together; spans come by start."""
     out, at = [], 0
     for a, b, _ in spans:
         if a >= at:
