@@ -55,6 +55,11 @@ LEAST_BITS, MOST_BITS, SLICES = 18, 24, 16
 LEAST_WIDTH = 256
 
 
+def _narrow(owner: np.ndarray) -> np.ndarray:
+    """The same numbers in 16 bits if they fit, which stable sorts take much less time for."""
+    return owner.astype(np.uint16) if len(owner) and owner.max() < 1 << 16 else owner
+
+
 def shingle_sets(t: Texts, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(text number, shingle hash) of the distinct shingles, by text and then hash."""
     words = find_words(t, SPACED)
@@ -69,7 +74,8 @@ def shingle_sets(t: Texts, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
             live = many[few] > k
             whole[live] = mix64(whole[live] * np.uint64(0xD6E8FEB86659FD93) + words.code[first[live] + k])
         owner, code = np.concatenate([owner, few]), np.concatenate([code, whole])
-    order = np.lexsort((code, owner))
+    order = np.argsort(code)
+    order = order[np.argsort(_narrow(owner)[order], kind="stable")]
     owner, code = owner[order], code[order]
     new = np.ones(len(code), dtype=bool)
     new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
@@ -87,7 +93,8 @@ def _sums(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
 def prefixes(owner: np.ndarray, code: np.ndarray, n: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, shingle) of the prefixes of sets, in the global order."""
     shift = np.uint64(65 - int(len(levels)).bit_length())
-    order = np.lexsort((code, levels[(code >> shift).astype(np.int64)], owner))
+    order = np.argsort(levels[(code >> shift).astype(np.int64)], kind="stable")  # codes ascend within an owner
+    order = order[np.argsort(_narrow(owner)[order], kind="stable")]
     place = np.arange(len(code)) - (np.cumsum(n) - n)[owner]
     front = place < (n - -(-NUM * n // DEN) + 1)[owner]
     return owner[front], code[order][front]
@@ -153,11 +160,10 @@ def _near(distance, n1, n2):
     return (NUM + DEN) * distance <= (DEN - NUM) * (n1 + n2)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Rows with equal first columns of sorted batches, as arrays; only the open run is held.
 
-    Runs of a single row inside a batch are passed over, as they make no pairs; with `alone`, only if the
-    second column is 0.
+    Runs of a single row inside a batch are passed over, as they make no pairs.
     """
     held: list[list[np.ndarray]] = []
     for batch in batches:
@@ -168,8 +174,6 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int, alone: bool = False) ->
         begins, ends = np.append(0, edges), np.append(edges, len(columns[0]))
         wanted = ends - begins > 1
         wanted[[0, -1]] = True  # these may go on in other batches
-        if alone:
-            wanted |= columns[1][begins] != 0
         for a, b in zip(begins[wanted].tolist(), ends[wanted].tolist(), strict=True):
             part = [c[a:b] for c in columns]
             if held and any(held[0][k][0] != part[k][0] for k in range(keys)):
@@ -184,41 +188,58 @@ _FOUND = "kind int, a bigint, b bigint, n bigint, place bigint"
 _PAIR = "a bigint, b bigint"
 
 
-def _first_pairs(small: int):
-    """From (token, salt, n, place, id) rows sorted by token, salt and n: kind 0 pairs, kind 1 rows of large buckets."""
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+    """Sorted batches as columns of `rows` rows or more, cut only between rows that differ in the first columns."""
+    held: list[list[np.ndarray]] = []
+    size, limit = 0, rows
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+        size += batch.num_rows
+        if size >= limit:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])) + 1
+            cut = int(edges[-1]) if len(edges) else 0
+            if cut:
+                yield [c[:cut] for c in columns]
+            held, size = [[c[cut:] for c in columns]], size - cut
+            limit = max(rows, 2 * size)
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), *(pa.array(x) for x in (a, b, n, place))], names=["kind", "a", "b", "n", "place"])
+def _first_pairs(small: int):
+    """From (token, salt, n, place, id) rows sorted in this order (place apart): kind 0 pairs, kind 1 rows of large buckets."""
 
-    def unique(pairs: list[np.ndarray]) -> pa.RecordBatch:
-        own = np.unique(np.concatenate(pairs), axis=0)
-        none = np.zeros(len(own), dtype=np.int64)
-        return out(0, own[:, 0].copy(), own[:, 1].copy(), none, none)
+    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in columns)], names=["kind", "a", "b", "n", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[np.ndarray] = []
-        size = 0
-        for token, salt, n, place, ident in _runs(batches, 2, alone=True):
-            _, once = np.unique(ident, return_index=True)
-            once.sort()
-            n, place, ident = n[once], place[once], ident[once]
-            m = len(ident)
-            if salt[0] or m > small:
-                yield out(1, np.full(m, token[0]), ident, n, place)
-                i = np.arange(1, m)
-                j = ((ident[1:] ^ token[0]).view(np.uint64) % i.astype(np.uint64)).astype(np.int64)
-            else:
-                i, j = np.tril_indices(m, -1)
+        for columns in _whole_runs(batches, 2):
+            token, salt, _, _, ident = columns
+            again = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (ident[1:] == ident[:-1])
+            token, salt, n, place, ident = (c[np.append(True, ~again)] for c in columns)
+            begin = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+            many = np.diff(np.append(begin, len(token)))
+            used = np.flatnonzero(np.repeat((many > 1) | (salt[begin] > 0), many))
+            nth = (np.arange(len(token)) - np.repeat(begin, many))[used]
+            large = np.repeat((many > small) | (salt[begin] > 0), many)[used]
+            yield out(1, *(c[used[large]] for c in (token, ident, n, place)))
+            # In a large bucket each row meets one earlier row, in a small one all of them.
+            late = np.flatnonzero(large & (nth > 0))
+            i = [used[late]]
+            j = [i[0] - nth[late] + ((ident[i[0]] ^ token[i[0]]).view(np.uint64) % nth[late].astype(np.uint64)).astype(np.int64)]
+            live, lag = np.flatnonzero(~large & (nth > 0)), 1
+            while len(live):
+                i.append(used[live])
+                j.append(used[live] - lag)
+                lag += 1
+                live = live[nth[live] >= lag]
+            i, j = np.concatenate(i), np.concatenate(j)
             good = _fits(n[i], place[i], n[j], place[j])
-            if good.any():
-                x, y = ident[i[good]], ident[j[good]]
-                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                size += len(x)
-                if size > 100_000:
-                    yield unique(pairs)
-                    pairs, size = [], 0
-        if pairs:
-            yield unique(pairs)
+            x, y = ident[i[good]], ident[j[good]]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            none = np.zeros(len(pairs), dtype=np.int64)
+            yield out(0, pairs[:, 0], pairs[:, 1], none, none)
 
     return released(run)
 
@@ -315,8 +336,9 @@ class _Join:
         levels, bits, hot = self.levels, self.bits, HOT
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count = np.where(levels.value > 0, np.exp2((levels.value.astype(np.float64) - 1) / 8), 0)
-            parts = np.where(count > hot + 2 * count.mean(), np.ceil(count / hot), 1).astype(np.uint64)
+            count = np.append(0.0, np.exp2(np.arange(255) / 8))  # by level
+            mean = count @ np.bincount(levels.value, minlength=256) / len(levels.value)
+            parts = np.where(count > hot + 2 * mean, np.ceil(count / hot), 1).astype(np.uint64)
             for batch in batches:
                 held = batch.column(0).to_pylist()
                 if not held:
@@ -326,7 +348,7 @@ class _Join:
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
                 code = np.frombuffer(b"".join(held), dtype=np.uint64)
                 n, ident = (batch.column(i).to_numpy()[owner] for i in (1, 2))
-                part = parts[(code >> np.uint64(64 - bits)).astype(np.int64)]
+                part = parts[levels.value[(code >> np.uint64(64 - bits)).astype(np.int64)]]
                 salt = np.where(part > 1, 1 + mix64(ident.view(np.uint64)) % part, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code.view(np.int64), salt, n, place, ident)], names=["token", "salt", "n", "place", "id"])
 
