@@ -477,9 +477,19 @@ DECLARED = {"Licensed under the Apache License, Version 2.0.": "apache-2.0", "Re
 def python_families(text):
     """The classifier's verdicts by plain loops."""
     weights, bias, heat, threshold = licenses.classifier()
+    known = set().union(*(licenses.triples(licenses.words_of(x)) for own in licenses.TEMPLATES.values() for x in own))
+    lines = (text or "").split("\n")
+    near = [bool(licenses.triples(licenses.words_of(line)) & known) for line in lines]
+    units, run = [], []
+    for line, n in [*zip(lines, near, strict=True), ("", False)]:
+        if n:
+            run.append(line)
+        else:
+            units += [*run, " ".join(run)]
+            run = []
     out = set()
-    for line in (text or "").split("\n"):
-        ws = licenses.words_of(line)
+    for unit in units:
+        ws = licenses.words_of(unit)
         z = (np.array(bias) + sum((np.array(weights[g]) for g in licenses.grams(ws) if g in weights), np.zeros(len(bias)))) / heat
         p = np.exp(z - z.max())
         p /= p.sum()

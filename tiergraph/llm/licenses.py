@@ -1,20 +1,22 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions alone.
 
-A paragraph is a line of a text.  A multinomial logistic regression over its distinct words and word pairs
-tells the licence family or "unknown".  It is fitted on the driver on SAMPLE paragraphs that are made from
-the family templates below (whole, in part, and with other words around) and from prose of no licence.  Its
-probabilities are calibrated by a temperature, and a paragraph below the calibrated threshold is unknown.  A
-prediction counts only if a template of that family confirms it: at least CONFIRM of the word triples of
-the shorter of the two are common to both.
-
-Scoring is joins: distinct paragraphs that hold a template's triple are cut into features, joined with the
-weights (a table of a size fixed by the templates) and summed.  Equal paragraphs are scored once, whatever
-number of documents share them, and the verdicts return by a salted join.  A confirmed paragraph shares at
-least CONFIRM > 0 of some triples with a template, so one at least, and no other paragraph matters.
+A paragraph is a line of a text, or a run of adjoining lines (a wrapped statement), as far as each of them has
+a word triple in common with a template.  A multinomial logistic regression over its distinct words and word
+pairs tells the licence family or "unknown".  It is fitted on the driver on SAMPLE paragraphs that are made
+from the family templates below (whole, in part, and with other words around) and from prose of no licence.
+Its probabilities are calibrated by a temperature, and a paragraph below the calibrated threshold is unknown.
+A prediction counts only if a template of that family confirms it: at least CONFIRM of the word triples of
+the shorter of the two are common to both.  So a line without any triple of a template cannot be confirmed,
+and adds nothing to a run that can.
+
+One scan of the texts stores such lines.  Scoring is joins: distinct paragraphs, known by a hash, are cut
+into features, joined with the weights (a table of a size fixed by the templates) and summed.  Equal
+paragraphs are scored once, whatever number of documents share them, and the verdicts return by a salted
+join on the hash.  A run's families count once for the run.
 
 Defined cases: null and empty texts have no paragraphs; repeated rows get the same result each; a null
 doc_id is kept; an empty table gives an empty result; other columns play no part; paragraphs of any length
-are read whole.
+are read whole; a line of one or two words parts a run.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tiergraph.llm.tables import named
+from tiergraph.llm.tables import named, staged
 
 #: Statements by which the licence families are declared.
 TEMPLATES = {
@@ -155,8 +158,6 @@ def classifier() -> tuple[dict[str, list[float]], list[float], float, float]:
     p = softmax(z / heat)[:, :-1].max(1)
     none = p[truth == len(FAMILIES) - 1]
     threshold = max(0.5, float(np.quantile(none, 0.995)) if len(none) else 0.5)
-    # The prefilter must not hide what could be confirmed: some triple has to be common to both.
-    assert CONFIRM > 0 and all(triples(words_of(t)) for own in TEMPLATES.values() for t in own)
     return {f: [round(float(v), 6) for v in w[i]] for f, i in index.items()}, [round(float(v), 6) for v in b], float(heat), min(threshold, 0.95)
 
 
@@ -165,45 +166,52 @@ def _inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
-    """Verdicts for distinct paragraphs (column para): para, family, probability."""
+    """Verdicts for distinct paragraphs (columns key and para): key, family, probability."""
     spark = paragraphs.sparkSession
     weights, bias, heat, threshold = classifier()
     wide = _inline(spark, [{"g": f, "w": v} for f, v in weights.items() if any(v)], "g string, w array<double>")
-    cut = paragraphs.select("para", F.regexp_extract_all(F.lower("para"), F.lit(WORDS), F.lit(0)).alias("ws"))
+    cut = paragraphs.select("key", F.regexp_extract_all(F.lower("para"), F.lit(WORDS), F.lit(0)).alias("ws"))
     pairs = F.expr("CASE WHEN size(ws) > 1 THEN zip_with(slice(ws, 1, size(ws) - 1), slice(ws, 2, size(ws) - 1), (a, b) -> concat(a, ' ', b)) ELSE array() END")
-    features = cut.select("para", F.explode(F.array_distinct(F.concat("ws", pairs))).alias("g"))
-    sums = features.join(F.broadcast(wide), "g").groupBy("para").agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(FAMILIES))])
+    features = cut.select("key", F.explode(F.array_distinct(F.concat("ws", pairs))).alias("g"))
+    sums = features.join(F.broadcast(wide), "g").groupBy("key").agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(FAMILIES))])
     z = F.array(*[(F.col(f"z{i}") + F.lit(bias[i])) / F.lit(heat) for i in range(len(FAMILIES))])
-    shifted = sums.select("para", z.alias("z")).withColumn("e", F.expr("transform(z, x -> exp(x - array_max(z)))"))
+    shifted = sums.select("key", z.alias("z")).withColumn("e", F.expr("transform(z, x -> exp(x - array_max(z)))"))
     total = F.expr("aggregate(e, 0D, (a, x) -> a + x)")
     known = len(FAMILIES) - 1
-    best = shifted.select("para", (F.expr(f"array_max(slice(e, 1, {known}))") / total).alias("probability"), F.expr(f"array_position(e, array_max(slice(e, 1, {known})))").alias("at"), F.expr("array_position(e, array_max(e))").alias("top"))
+    best = shifted.select("key", (F.expr(f"array_max(slice(e, 1, {known}))") / total).alias("probability"), F.expr(f"array_position(e, array_max(slice(e, 1, {known})))").alias("at"), F.expr("array_position(e, array_max(e))").alias("top"))
     names = F.array(*[F.lit(f) for f in FAMILIES])
-    guessed = best.where((F.col("top") <= known) & (F.col("probability") >= threshold)).select("para", F.element_at(names, F.col("at").cast("int")).alias("family"), "probability")
+    guessed = best.where((F.col("top") <= known) & (F.col("probability") >= threshold)).select("key", F.element_at(names, F.col("at").cast("int")).alias("family"), "probability")
 
     rows = [{"family": f, "nth": i, "size": len(triples(words_of(t))), "t": g} for f, own in TEMPLATES.items() for i, t in enumerate(own) for g in sorted(triples(words_of(t)))]
     templates = _inline(spark, rows, "family string, nth int, size int, t string")
     triple = F.expr("CASE WHEN size(ws) = 0 THEN array() ELSE array_distinct(transform(sequence(1, greatest(1, size(ws) - 2)), i -> array_join(slice(ws, i, 3), ' '))) END")
-    own = cut.select("para", triple.alias("ts"))
-    shared = own.select("para", F.size("ts").alias("own"), F.explode("ts").alias("t")).join(F.broadcast(templates), "t").groupBy("para", "family", "nth", "size", "own").agg(F.count("*").alias("common"))
-    backed = shared.where(F.col("common") >= CONFIRM * F.least("size", "own")).select("para", "family").distinct()
-    return guessed.join(backed, ["para", "family"])
+    own = cut.select("key", triple.alias("ts"))
+    shared = own.select("key", F.size("ts").alias("own"), F.explode("ts").alias("t")).join(F.broadcast(templates), "t").groupBy("key", "family", "nth", "size", "own").agg(F.count("*").alias("common"))
+    backed = shared.where(F.col("common") >= CONFIRM * F.least("size", "own")).select("key", "family").distinct()
+    return guessed.join(backed, ["key", "family"])
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per document: doc_id, n_cues (paragraphs with a cue word), n_licenses (confirmed), families, probability (least)."""
+    """Per document: doc_id, n_cues (lines with a cue word), n_licenses (families confirmed, by run), families, probability (least)."""
     own = docs.select(F.col(named(doc_id)).alias("doc_id"), F.col(named(text)).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     known = sorted(set().union(*(triples(words_of(t)) for ts in TEMPLATES.values() for t in ts)))
     # The words are a lambda's variable, so that they are cut once, also where the filter is pushed down.
     words = F.array(F.regexp_extract_all(F.lower("para"), F.lit(WORDS), F.lit(0)))
     near = F.exists(words, lambda ws: F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - 2)), lambda i: F.array_join(F.slice(ws, i, F.lit(3)), " ").isin(known)))
     split = own.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("place", "para"))
-    lines = split.withColumns({"cue": F.col("para").rlike(CUE), "near": near}).where("cue OR near")
-    salted = lines.distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "place"), F.lit(SALTS)))
-    verdicts = classify(lines.where("near").select("para").distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    told = salted.join(verdicts, ["para", "salt"], "left")
-    per = told.groupBy("doc_id", "th").agg(F.count_if("cue").alias("n_cues"), F.count("family").alias("n_licenses"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
+    lines = staged(split.withColumns({"cue": F.col("para").rlike(CUE), "near": near}).where("cue OR near").distinct(), "lines")
+
+    placed = Window.partitionBy("doc_id", "th").orderBy("place")
+    runs = lines.where("near").withColumn("run", F.col("place") - F.row_number().over(placed))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "para")))
+    joined = runs.groupBy("doc_id", "th", "run").agg(F.array_join(F.transform(ordered, lambda x: x["para"]), " ").alias("para"), F.count("*").alias("n")).where("n > 1")
+    units = runs.select("doc_id", "th", "run", "para").union(joined.select("doc_id", "th", "run", "para")).withColumn("key", F.sha2("para", 256)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "run"), F.lit(SALTS)))
+    verdicts = classify(units.select("key", "para").distinct()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    told = units.select("doc_id", "th", "run", "key", "salt").join(verdicts, ["key", "salt"])
+    rows = told.select("doc_id", "th", F.lit(0).alias("cue"), F.struct("run", "family").alias("found"), "family", "probability")
+    cues = lines.where("cue").select("doc_id", "th", F.lit(1).alias("cue"), F.lit(None).cast(rows.schema["found"].dataType).alias("found"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("probability"))
+    per = rows.union(cues).groupBy("doc_id", "th").agg(F.sum("cue").alias("n_cues"), F.count_distinct("found").alias("n_licenses"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.min("probability").alias("probability"))
     per = per.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "n_cues", "n_licenses", "families", "probability")
-    joined = own.select("doc_id", "th").join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
+    out = own.select("doc_id", "th").join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
     zero = F.lit(0).cast("long")
-    return joined.select("doc_id", F.coalesce("n_cues", zero).alias("n_cues"), F.coalesce("n_licenses", zero).alias("n_licenses"), F.coalesce("families", F.lit("")).alias("families"), "probability")
+    return out.select("doc_id", F.coalesce("n_cues", zero).alias("n_cues"), F.coalesce("n_licenses", zero).alias("n_licenses"), F.coalesce("families", F.lit("")).alias("families"), "probability")
