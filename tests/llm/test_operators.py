@@ -101,6 +101,44 @@ def test_extract():
         assert extract.main_text(empty) == ""
 
 
+SENTENCES = {
+    "en": "The cat of the house and the dog went to the river in the early morning of the day.",
+    "it": "Il gatto della casa e il cane sono andati al fiume che scorre nel bosco, ma non per bere.",
+    "ru": "Кошка и собака пошли к реке, но по дороге они не нашли воды, и это было для них не так важно.",
+    "el": "Η γάτα και ο σκύλος πήγαν στο ποτάμι για να πιουν νερό, που δεν είναι πολύ κοντά στο σπίτι.",
+    "zh": "猫和狗在早上到河边去了，他们说这是一个好地方，但是水不多，所以他们就回家了，也没有再来。",
+    "ja": "猫と犬は朝早く川のそばへ行きましたが、水が少なかったので、すぐに家に帰りました。",
+    "ar": "ذهبت القطة إلى النهر في الصباح مع الكلب الذي كان يريد أن يشرب من الماء على الطريق.",
+    "xx": "Brelka dunmor tavi hesk orlan piat, wenkor dasil muro feltan, goshi brandu kelm ostari venn.",
+}
+
+
+@pytest.mark.parametrize("lang", SENTENCES)
+def test_extract_without_article(lang):
+    """Pages that do not say where their article is, in several scripts and in no known language."""
+    text = SENTENCES[lang]
+    page = f"""<body><div class="top-menu"><a href=/a>A</a> <a href=/b>B</a></div><div><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div>
+    <div class="content"><h1>{text[:12]}</h1><p>{text}</p><p>{text[:9]}</p><div>{text}</div></div>
+    <div class="related-posts"><p>{text}</p></div><div id="comments"><p>{text}</p></div><div><a href=3>{text}</a></div><footer>{text}</footer></body>"""
+    assert extract.main_text(page) == "\n\n".join([text[:12].strip(), text, text[:9].strip(), text])
+
+
+def test_extract_names():
+    """Names that merely contain a word of menus or notices mark nothing; those that say nothing else do."""
+    text = SENTENCES["en"]
+    for name in ("side-by-side", "notice-period", "search-algorithms", "ad-hoc", "commentary", "menu-of-the-day", "legal-history", "headerless"):
+        assert extract.main_text(f"<article><p>{text}</p><div class='{name}'><p>{text}</p></div></article>") == f"{text}\n\n{text}"
+        assert extract.main_text(f"<article><p>{text}</p><table id='{name}'><tr><td>{text}</table></article>") == f"{text}\n\n{text}"
+    for name in ("ad", "cookie-notice", "share-buttons", "site-header", "commentList", "related_posts", "sidebar", "newsletter-signup-form", "ad-slot-3", "promo box"):
+        assert extract.main_text(f"<article><p>{text}</p><div class='{name}'><p>{text}</p></div></article>") == text
+
+
+def test_extract_long_page():
+    text = SENTENCES["en"]
+    page = "<div>" * 3000 + f"<p>{text}</p>" * 3000 + "</div>" * 3000
+    assert extract.main_text(page) == "\n\n".join([text] * 3000)
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 3), (1, "u", None, 3), (None, None, PAGE * 30, 4)], "page_id bigint, url string, html string, n_chars int")
     got = extract.extract_main(pages).collect()

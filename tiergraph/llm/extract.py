@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags.  The first pass classifies each block by stop-word density,
 length and link density, with the container it stands in: blocks of menus, adverts, forms and the like are
 boilerplate, blocks that are mostly links too, long blocks with ordinary function words are content, and
-short or odd ones stay ambiguous.  In the second pass every ambiguous block takes the label of its nearest
+short or odd ones stay ambiguous.  Where no block of a page has the function words of a language known here,
+long blocks of sentences with few links are content.  A class or id marks a container only if it says nothing
+but that ("cookie-notice", not "notice-period").  In the second pass every ambiguous block takes the label of its nearest
 decided neighbours: both alike, or else the nearer, among blocks of the same article if it stands in one.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
@@ -38,6 +40,11 @@ APART_WORDS = frozenset(
     "comment comments commentlist disqus reply replies respond discussion related recommended share sharing social newsletter subscribe subscription signup login search widget pagination pager skip "
     "complementary contentinfo alertdialog".split()
 )
+#: Words that such names hold beside those, and that change nothing.
+AROUND_WORDS = frozenset(
+    "area bar block body box bottom btn button buttons card column container content desktop fixed footer global group head header holder inner item items left link links list main mobile "
+    "outer page panel placeholder post posts primary right row secondary section site slot sticky text title top unit widget widgets wrap wrapper form feed thread article articles stories icons us".split()
+)
 HOME = frozenset(["article", "main"])
 _CLOSES_P = BLOCK - frozenset("html head body title option caption tbody td tfoot th thead tr legend dd dt li summary".split())
 
@@ -46,12 +53,36 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _PIECES = re.compile(r"[A-Za-z]+")
 _STRIP = "\"'.,;:!?()[]{}*#$%&<>|«»„“”…-"
-_STOP = frozenset(FUNCTION_WORDS)
+#: Function words of more languages, and function characters of Chinese.
+MORE_FUNCTION_WORDS = (
+    "di che non per il gli della sono ma anche come nel dei si "
+    "um uma os não mais ao das seu sua dos mas foi "
+    "het een van niet dat op te zijn voor met aan ook maar "
+    "och att det som på är av för inte till om men jag "
+    "i w na z się nie jest to że do jak po ale "
+    "и в не на что он с как это по но из у за так же "
+    "και το να του η της με σε που για δεν είναι "
+    "ve bir bu için ile da de çok ama gibi "
+    "من في على إلى أن هذا التي الذي ما لا هو "
+    "של את על לא הוא זה עם גם כי אל "
+    "है के में की और से का को नहीं यह पर "
+    "yang dan di dari untuk dengan ini itu tidak pada "
+    "và của là có không trong được cho với một"
+).split()
+CHINESE_FUNCTION_CHARACTERS = frozenset("的了是在不和有这我他们就也都到说要会可对为与其之而但")
+_STOP = frozenset(FUNCTION_WORDS) | frozenset(MORE_FUNCTION_WORDS)
+#: Characters written without spaces between words: hiragana, katakana, Chinese characters, Thai.
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\u0e00-\u0e7f]")
+_HIRAGANA = re.compile(r"[\u3040-\u309f]")
+_SENTENCE = re.compile(r"[.!?…:;。！？।؟։።]['\"”»)\]」』]*$|[\u0e00-\u0e7f]$")
 
 GOOD, BAD, UNSURE = 1, -1, 0
 
 #: Words of a block from which it can be decided, and the shares that decide it.
 LONG, STOP_SHARE, LINK_SHARE = 10, 0.1, 0.5
+#: The share of links that a block of an unknown language may have, and characters that stand for a word where
+#: no spaces do.
+FEW_LINKS, DENSE_WORD = 0.2, 2
 
 
 class _Block:
@@ -67,7 +98,7 @@ def _marked(attributes: str) -> bool:
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").split():
             pieces = [x.lower() for x in _PIECES.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))]
-            if any(x in APART_WORDS for x in pieces):
+            if any(x in APART_WORDS for x in pieces) and all(x in APART_WORDS or x in AROUND_WORDS for x in pieces):
                 return True
     return bool(_HIDDEN.search(attributes))
 
@@ -145,20 +176,31 @@ def blocks(page: str) -> list[_Block]:
         open_tags.append((name, apart, home))
 
 
+def _measures(body: str) -> tuple[float, bool]:
+    """Words of a block, and whether function words (or characters) have their usual share of it."""
+    words = body.split()
+    stops = sum(w.strip(_STRIP).lower() in _STOP for w in words)
+    dense = _DENSE.findall(body)
+    if len(dense) <= len(words):
+        return len(words), stops >= STOP_SHARE * len(words)
+    usual = sum(c in CHINESE_FUNCTION_CHARACTERS for c in dense) >= STOP_SHARE / 2 * len(dense) or len(_HIRAGANA.findall(body)) >= STOP_SHARE * len(dense)
+    return len(words) + len(dense) / DENSE_WORD, usual
+
+
 def classify(found: list[_Block]) -> list[int]:
     """Labels of the blocks after both passes."""
     labels = []
     any_home = any(b.home and not b.apart for b in found)
-    for b in found:
-        body = "".join(b.parts)
-        words = body.split()
-        stops = sum(w.strip(_STRIP).lower() in _STOP for w in words)
-        chars = len(body.strip())
+    bodies = ["".join(b.parts).strip() for b in found]
+    measures = [_measures(body) for body in bodies]
+    known = any(n >= LONG and usual and not b.apart for b, (n, usual) in zip(found, measures, strict=True))
+    for b, body, (n, usual) in zip(found, bodies, measures, strict=True):
+        chars = len(body)
         if b.apart or chars and b.linked > LINK_SHARE * chars and not (b.home and b.heading):
             labels.append(BAD)
         elif any_home and not b.home:
             labels.append(BAD)  # the page says where its article is
-        elif len(words) >= LONG and stops >= STOP_SHARE * len(words):
+        elif n >= LONG and (usual or not known and b.linked <= FEW_LINKS * chars and _SENTENCE.search(body)):
             labels.append(GOOD)
         else:
             labels.append(UNSURE)
