@@ -34,7 +34,7 @@ def hits(docs, items):
         w = words(t)
         if w:
             for k in range(max(1, len(w) - 9)):
-                wins[tuple(w[k : k + 10])].add(str(i))
+                wins[tuple(w[k : k + 10])].add(None if i is None else str(i))
     out = []
     for t in docs:
         w = words(t)
@@ -44,7 +44,7 @@ def hits(docs, items):
                 if tuple(w[k : k + size]) in wins:
                     hit |= set(range(k, k + size))
                     ids |= wins[tuple(w[k : k + size])]
-        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+        out.append((len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids - {None})).encode()).hexdigest(), bool(hit)))
     return out
 
 

@@ -163,10 +163,26 @@ def test_extract_articles(spark):
 RESULT = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+def test_decontaminate_compares_bytes(spark, monkeypatch):
+    """Words whose hashes are equal are not taken for equal."""
+    from tiergraph.llm import textops as kernel
+
+    real = kernel.span_codes
+    monkeypatch.setattr(kernel, "span_codes", lambda data, start, end: np.where(end - start == 4, np.uint64(77), real(data, start, end)))
+    rows, items = ["this text holds some abcd words and efgh more of them to see", "nothing"], [("1", "holds some efgh words"), ("2", "holds some abcd words"), ("3", "more of them")]
+    block = decontaminate.build_block(items)
+    plan = decontaminate.plan_block(block, {k: np.ones(len(v.codes), dtype=np.int64) for k, v in block.tokens.items()})
+    (t,) = kernel.slices(pa.array(rows), kernel.LOWER)
+    words = kernel.find_words(t, kernel.ALNUM)
+    begin, win = decontaminate.find_windows(t, words, plan)
+    found = {block.item_ids[i] for w in win for i in block.holder[block.held[w] : block.held[w + 1]]}
+    assert found == {"2", "3"} and sorted(begin.tolist()) == [2, 8]
+
+
 def test_decontaminate(spark, docs, rows, odd):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     own = [(r["item_id"], r["text"]) for r in items.collect()]
-    short = [(901, "one TWO"), (902, "unit3 unit4"), (903, None), (904, "..."), (904, "dog"), (905, " ".join(f"unit{i}" for i in range(40, 49)))]
+    short = [(None, "unit70 unit71 unit72"), (None, "one two"), (901, "one TWO"), (902, "unit3 unit4"), (903, None), (904, "..."), (904, "dog"), (905, " ".join(f"unit{i}" for i in range(40, 49)))]
     more = items.unionByName(spark.createDataFrame(short, "item_id bigint, text string"))
     for df, data in ((docs, rows), (odd, plain(odd))):
         want = collections.Counter((i, *x) for (i, _), x in zip(data, brute.hits([t for _, t in data], own + short), strict=True))

@@ -6,15 +6,17 @@ A window of words contains shingles of up to three words; for full containment a
 one of them, so a prefix of one shingle suffices.  Shingles are ordered by their rarity in the whole
 corpus (counted in a first scan), and the rarest of a window is its prefix token.  A document shingle that
 equals a token proposes the window at one position; positional and length bounds discard proposals that
-would stick out of the document; the rest are verified word by word over the whole window.
+would stick out of the document; the rest are verified over the whole window, word by word: first by hash,
+then by their bytes.
 
 The items are the stated query set.  They are taken in blocks of at most ITEM_BYTES of text on average (a
-hash of the item picks the block), each broadcast by itself, and documents stream past the blocks with no
-shuffle of text.
+hash of the item picks the block), each broadcast by itself, and documents stream past one block after the
+other with no shuffle of text, collecting a bit a word and the items found.
 
 Defined cases: null or empty texts have no words: such documents have no hits and such items no windows;
-repeated documents each get their row; repeated items all count; an empty benchmark hits nothing; input
-columns named like the operator's own are replaced; texts of any length are searched whole.
+repeated documents each get their row; items that share an id count as one; items with a null id count as
+one item that the list of ids leaves out; an empty benchmark hits nothing; input columns named like the
+operator's own are replaced; texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiergraph.llm.tables import map_text, named, others, released, small_batches
-from tiergraph.llm.textops import ALNUM, LOWER, Words, find_words, slices, windows
+from tiergraph.llm.tables import named, others, released, small_batches
+from tiergraph.llm.textops import ALNUM, LOWER, Texts, Words, find_words, mix64, same_spans, slices, windows
 
 WINDOW = 10
 SHINGLE = 3
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 8 << 20
 
 RESULT = [
     ("n_words", T.LongType()),
@@ -65,44 +67,64 @@ class CodeSet:
 
 @dataclass
 class Block:
-    """The distinct windows of some items, and which items hold each."""
-
-    item_ids: list[str]
-    word: np.ndarray  # codes of all windows' words, one after the other
-    first: np.ndarray  # where each window's words begin; one more entry at the end
-    holder: list[np.ndarray]  # items of each window
+    """The words of some items, their distinct windows, and which items hold each."""
+
+    item_ids: list[str | None]
+    data: np.ndarray  # the items' bytes
+    start: np.ndarray  # of each word: first byte, bytes, hash
+    size: np.ndarray
+    code: np.ndarray
+    first: np.ndarray  # of each window: first word, words
+    length: np.ndarray
+    held: np.ndarray  # where the holders of each window begin; one more entry at the end
+    holder: np.ndarray
     tokens: dict[int, CodeSet]  # shingle size: all shingles of windows that use that size
 
 
-def build_block(rows: list[tuple[str, str | None]]) -> Block:
+def _shingles(words: Words, k: int) -> np.ndarray:
+    """The shingle of k words from each word on; meaningless where an item ends before."""
+    out = np.zeros(len(words.code), dtype=np.uint64)
+    at, code = windows(words, k)
+    out[at] = code
+    return out
+
+
+def build_block(rows: list[tuple[str | None, str | None]]) -> Block:
     column = pa.array([t for _, t in rows], type=pa.string())
-    base, at_window, holders, words_of = 0, {}, [], []
-    shingles: dict[int, list[np.ndarray]] = {k: [] for k in range(1, SHINGLE + 1)}
-    for t in slices(column, LOWER):
-        words = find_words(t, ALNUM)
-        bound = np.searchsorted(words.text, np.arange(t.n + 1))
-        for i in range(t.n):
-            code = words.code[bound[i] : bound[i + 1]]
-            size = min(WINDOW, len(code))
-            for s in range(len(code) - size + 1 if size else 0):
-                key = code[s : s + size].tobytes()
-                if key not in at_window:
-                    at_window[key] = len(holders)
-                    holders.append(set())
-                    words_of.append(code[s : s + size])
-                holders[at_window[key]].add(base + i)
-        base += t.n
-    first = np.concatenate([[0], np.cumsum([len(w) for w in words_of])]).astype(np.int64)
-    for w in words_of:
-        k = min(SHINGLE, len(w))
-        shingles[k].append(_shingles(w, k))
-    tokens = {k: CodeSet(np.concatenate(v)) for k, v in shingles.items() if v}
-    return Block([i for i, _ in rows], np.concatenate(words_of) if words_of else np.zeros(0, dtype=np.uint64), first, [np.array(sorted(h)) for h in holders], tokens)
-
-
-def _shingles(code: np.ndarray, k: int) -> np.ndarray:
-    empty = np.zeros(0, dtype=np.int64)
-    return windows(Words(empty, empty, np.zeros(len(code), dtype=np.int64), code), k)[1]
+    (t,) = slices(column, LOWER, 1 << 62) if rows else (Texts(np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)),)
+    words = find_words(t, ALNUM)
+    bound = np.searchsorted(words.text, np.arange(t.n + 1))
+    many = np.diff(bound)
+    full = np.arange(len(words.code)) + WINDOW <= bound[words.text + 1]
+    first = np.concatenate([np.flatnonzero(full), bound[:-1][(many > 0) & (many < WINDOW)]])
+    length = np.minimum(many[words.text[first]], WINDOW)
+    # Equal windows are one: sorted by a hash, and told apart by their bytes where hashes meet.
+    key = np.zeros(len(first), dtype=np.uint64)
+    for j in range(WINDOW):
+        live = np.flatnonzero(length > j)
+        key[live] = mix64(key[live] + words.code[first[live] + j])
+    order = np.lexsort((first, length, key))
+    first, length, key = first[order], length[order], key[order]
+    new = np.ones(len(first), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (length[1:] != length[:-1])
+    for j in range(WINDOW):
+        live = np.flatnonzero(~new & (length > j))
+        a, b = first[live] + j, first[live - 1] + j
+        size = words.end[a] - words.start[a]
+        same = size == words.end[b] - words.start[b]
+        alike = np.flatnonzero(same)
+        same[alike] = same_spans(t.data, words.start[a[alike]], t.data, words.start[b[alike]], size[alike])
+        new[live] = ~same
+    window = np.cumsum(new) - 1
+    pairs = np.unique(np.stack([window, words.text[first]], 1), axis=0) if len(first) else np.zeros((0, 2), dtype=np.int64)
+    first, length = first[new], length[new]
+    tokens = {}
+    for k in range(1, SHINGLE + 1):
+        own = np.flatnonzero(np.minimum(length, SHINGLE) == k)
+        if len(own):
+            places = np.unique(np.concatenate([first[own[length[own] >= k + j]] + j for j in range(WINDOW - k + 1)]))
+            tokens[k] = CodeSet(_shingles(words, k)[places])
+    return Block([i for i, _ in rows], t.data, words.start, words.end - words.start, words.code, first, length, np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)), pairs[:, 1], tokens)
 
 
 def count_shingles(docs: DataFrame, text: str, block: Block) -> dict[int, np.ndarray]:
@@ -139,28 +161,35 @@ class Plan:
 
 
 def plan_block(block: Block, counts: dict[int, np.ndarray]) -> Plan:
-    chosen: dict[int, list[tuple[int, int, int]]] = {}
-    for w in range(len(block.first) - 1):
-        code = block.word[block.first[w] : block.first[w + 1]]
-        k = min(SHINGLE, len(code))
-        own = _shingles(code, k)
-        rarity = counts[k][np.searchsorted(block.tokens[k].codes, own)]
-        at = int(np.lexsort((own, rarity))[0])
-        chosen.setdefault(k, []).append((int(own[at]), w, at))
+    none = np.zeros(len(block.code), dtype=np.int64)
     size = {}
-    for k, entries in chosen.items():
-        entries.sort()
-        codes = np.array([e[0] for e in entries], dtype=np.uint64)
-        known = CodeSet(codes)
-        start = np.append(np.searchsorted(codes, known.codes), len(codes))
-        size[k] = (known, start, np.array([e[1] for e in entries]), np.array([e[2] for e in entries]))
+    for k, known in block.tokens.items():
+        # Windows lie inside one item, so shingles are taken as if all words were one text's.
+        shingle = _shingles(Words(none, none, none, block.code), k)
+        place = np.minimum(np.searchsorted(known.codes, shingle), len(known.codes) - 1)
+        rank = np.empty(len(known.codes), dtype=np.int64)
+        rank[np.lexsort((known.codes, counts[k]))] = np.arange(len(known.codes))
+        chosen, offset = [], []
+        for n in range(k, WINDOW + 1):
+            own = np.flatnonzero((block.length == n) & (min(n, SHINGLE) == k))
+            if len(own):
+                rarity = np.stack([rank[place[block.first[own] + j]] for j in range(n - k + 1)])
+                chosen.append(own)
+                offset.append(rarity.argmin(0))
+        window, at = np.concatenate(chosen), np.concatenate(offset)
+        codes = shingle[block.first[window] + at]
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        tokens = CodeSet(codes)
+        size[k] = (tokens, np.append(np.searchsorted(codes, tokens.codes), len(codes)), window[order], at[order])
     return Plan(block, size)
 
 
-def find_windows(words: Words, n_texts: int, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def find_windows(t: Texts, words: Words, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Verified occurrences: first word (number in the slice) and window."""
-    bound = np.searchsorted(words.text, np.arange(n_texts + 1))
-    starts, found = [], []
+    block = plan.block
+    bound = np.searchsorted(words.text, np.arange(t.n + 1))
+    starts, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for k, (known, first, window, offset) in plan.size.items():
         at, code = windows(words, k)
         hit, member = known.find(code)
@@ -171,47 +200,33 @@ def find_windows(words: Words, n_texts: int, plan: Plan) -> tuple[np.ndarray, np
         entry = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many) + first[member][rows]
         begin = at[hit][rows] - offset[entry]
         win = window[entry]
-        length = plan.block.first[win + 1] - plan.block.first[win]
         text = words.text[at[hit][rows]]
-        fits = (begin >= bound[text]) & (begin + length <= bound[text + 1])
-        begin, win, length = begin[fits], win[fits], length[fits]
+        fits = (begin >= bound[text]) & (begin + block.length[win] <= bound[text + 1])
+        begin, win = begin[fits], win[fits]
         good = np.ones(len(begin), dtype=bool)
         for j in range(WINDOW):
-            live = np.flatnonzero(good & (length > j))
-            good[live] = words.code[begin[live] + j] == plan.block.word[plan.block.first[win[live]] + j]
+            live = np.flatnonzero(good & (block.length[win] > j))
+            good[live] = words.code[begin[live] + j] == block.code[block.first[win[live]] + j]
         starts.append(begin[good])
         found.append(win[good])
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(starts), np.concatenate(found)) if starts else (none, none)
-
-
-def _sha(ids: set[str]) -> str:
+    begin, win = np.concatenate(starts), np.concatenate(found)
+    # Equal hashes are not taken at their word: each pair of a document word and an item word is compared once.
+    length = block.length[win]
+    row = np.repeat(np.arange(len(win)), length)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    pairs, back = np.unique(np.stack([begin[row] + nth, block.first[win][row] + nth], 1), axis=0, return_inverse=True) if len(row) else (np.zeros((0, 2), dtype=np.int64), row)
+    size = words.end[pairs[:, 0]] - words.start[pairs[:, 0]]
+    same = size == block.size[pairs[:, 1]]
+    live = np.flatnonzero(same)
+    same[live] = same_spans(t.data, words.start[pairs[live, 0]], block.data, block.start[pairs[live, 1]], size[live])
+    good = np.bincount(row, weights=~same[back], minlength=len(win)) == 0
+    return begin[good], win[good]
+
+
+def _sha(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def mark(docs: DataFrame, text: str, plan: Plan, keep: list[str] | None) -> DataFrame:
-    """One block's scan with no others: the final columns at once."""
-    shared = docs.sparkSession.sparkContext.broadcast(plan)
-
-    def fn(column: pa.Array) -> list[list]:
-        plan = shared.value
-        out: list[list] = [[] for _ in RESULT]
-        for t in slices(column, LOWER):
-            words = find_words(t, ALNUM)
-            begin, win = find_windows(words, t.n, plan)
-            hit = _covered(len(words.code), begin, plan.block.first[win + 1] - plan.block.first[win])
-            items: dict[int, set[int]] = {}
-            for d, w in set(zip(words.text[begin].tolist(), win.tolist(), strict=True)):
-                items.setdefault(d, set()).update(plan.block.holder[w].tolist())
-            n_hit = np.bincount(words.text[hit], minlength=t.n)
-            names = [{plan.block.item_ids[i] for i in items.get(d, ())} for d in range(t.n)]
-            for x, y in zip(out, (words.per_text(t.n).tolist(), n_hit.tolist(), [len(x) for x in names], map(_sha, names), (n_hit > 0).tolist()), strict=True):
-                x.extend(y)
-        return out
-
-    return map_text(docs, text, fn, RESULT, keep)
-
-
 def _covered(n: int, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, begin, 1)
@@ -223,23 +238,24 @@ _WORDS, _MARKS, _FOUND = "__words__", "__marks__", "__found__"
 
 
 def gather(docs: DataFrame, text: str, plan: Plan) -> DataFrame:
-    """One block's scan among several: documents go through whole, with hit words and items so far."""
+    """One block's scan: documents go through whole, with hit words and items so far."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)
     names = docs.columns
     at, marks_at, found_at = names.index(text), names.index(_MARKS), names.index(_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
+        block = plan.block
         for batch in batches:
             marks, found = batch.column(marks_at).to_pylist(), batch.column(found_at).to_pylist()
             row = 0
             for t in slices(batch.column(at), LOWER):
                 words = find_words(t, ALNUM)
                 bound = np.searchsorted(words.text, np.arange(t.n + 1))
-                begin, win = find_windows(words, t.n, plan)
-                hit = _covered(len(words.code), begin, plan.block.first[win + 1] - plan.block.first[win])
+                begin, win = find_windows(t, words, plan)
+                hit = _covered(len(words.code), begin, block.length[win])
                 for d, w in set(zip(words.text[begin].tolist(), win.tolist(), strict=True)):
-                    found[row + d] = sorted({*(found[row + d] or ()), *(plan.block.item_ids[i] for i in plan.block.holder[w])})
+                    found[row + d] = [*{*(found[row + d] or ()), *(block.item_ids[i] for i in block.holder[block.held[w] : block.held[w + 1]])}]
                 for d in set(words.text[begin].tolist()):
                     now = hit[bound[d] : bound[d + 1]]
                     if marks[row + d]:
@@ -264,32 +280,25 @@ def _finish(docs: DataFrame, text: str, keep: list[str] | None) -> DataFrame:
             n_words = [n for t in slices(batch.column(len(kept)), LOWER) for n in find_words(t, ALNUM, hashed=False).per_text(t.n).tolist()]
             n_hit = [int(np.unpackbits(np.frombuffer(m or b"", dtype=np.uint8)).sum()) for m in batch.column(len(kept) + 1).to_pylist()]
             found = [f or [] for f in batch.column(len(kept) + 2).to_pylist()]
-            made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([_sha(set(f)) for f in found]), pa.array([n > 0 for n in n_hit])]
+            made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([_sha([i for i in f if i is not None]) for f in found]), pa.array([n > 0 for n in n_hit])]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + made, names=[*kept, *names])
 
     return source.mapInArrow(released(run), schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """Documents with n_words, n_hit, n_items, items_sha256 and contaminated; see the module's text for odd cases.
-
-    Items with one id count as one item; items without an id are left out, as they cannot be named.
-    """
+    """Documents with n_words, n_hit, n_items, items_sha256 and contaminated; see the module's text for odd cases."""
     small_batches(docs.sparkSession)
-    query = items.where(F.col(named(item_id)).isNotNull()).select(F.col(named(item_id)).cast("string").alias("id"), F.col(named(item_text)).cast("string").alias("text"))
+    query = items.select(F.col(named(item_id)).cast("string").alias("id"), F.col(named(item_text)).cast("string").alias("text"))
     size = query.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-int(size) // item_bytes))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks))
-
-    def plan(k: int) -> Plan:
-        rows = query.where(part == k) if n_blocks > 1 else query
-        block = build_block([(r["id"], r["text"]) for r in rows.orderBy("id", "text").collect()])  # one bounded block
-        return plan_block(block, count_shingles(docs, text, block) if block.tokens else {})
-
-    if n_blocks == 1:
-        return mark(docs, text, plan(0), keep)
     out = docs.withColumn(_MARKS, F.lit(None).cast("binary")).withColumn(_FOUND, F.lit(None).cast("array<string>"))
     out = out.withColumn(text, F.col(named(text)).cast("string"))
+    kept = [c for c in out.columns if keep is None or c in keep or c in (text, _MARKS, _FOUND)]
+    out = out.select(*[named(c) for c in kept])
     for k in range(n_blocks):
-        out = gather(out, text, plan(k))
+        block = build_block([(r["id"], r["text"]) for r in query.where(part == k).orderBy("id", "text").collect()])  # one bounded block
+        if block.tokens:
+            out = gather(out, text, plan_block(block, count_shingles(docs, text, block)))
     return _finish(out, text, keep)
