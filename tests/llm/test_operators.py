@@ -340,6 +340,21 @@ def test_chats_sql(spark):
     assert sorted(map(tuple, got[list(want.columns)].values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
+def test_chats_sql_with_ties_and_nulls(spark, tmp_path):
+    """The operator and its SQL agree where turns tie, and on nulls in every column."""
+    rng = np.random.default_rng(8)
+    some = lambda values: values[int(rng.integers(len(values)))]
+    rows = [(some([1, 2, 3, 4, 5, None]), some([0, 1, 2, None]), some(["user", "assistant", None]), some(["a", "b", "", None])) for _ in range(80)]
+    rows += [(9, k, "user", "x") for k in range(3)] + [(10, k, "user", "x") for k in range(5)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op7_chat_formatting"]).fetchall()
+    names = [d[0] for d in con.sql(queries.ORACLES["op7_chat_formatting"]).description]
+    got = [tuple(r) for r in queries.op7_chat_formatting(spark, str(tmp_path)).select(*names).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 3
+
+
 # -- secrets --------------------------------------------------------------------------------
 
 

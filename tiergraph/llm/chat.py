@@ -8,8 +8,8 @@ prefixes are reduced before they are shuffled, so a first turn or a conversation
 is one row.  The turns of one conversation meet in one task, since its rendering is one value.
 
 Defined cases: a null conv_id is a conversation of its own; null roles are rendered as "unknown", null
-texts as empty, and both differ from those words in comparisons; turns are ordered by turn, null first,
-then by a hash of their content, and repeated rows are repeated turns; empty tables give an empty result;
+texts as empty, and both differ from those words in comparisons; turns are ordered by turn, then role,
+then the text's MD5, nulls first, and repeated rows are repeated turns; empty tables give an empty result;
 other columns are ignored; texts of any length are hashed and rendered whole.
 """
 
@@ -30,9 +30,10 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     base = turns.select(F.col(named(conv_id)).alias("conv_id"), F.col(named(turn)).alias("turn"), F.col(named(role)).cast("string").alias("role"), F.col(named(text)).cast("string").alias("text"))
     # A null and an empty value hash apart by the flags.
     content = [F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    hashed = base.select("conv_id", "turn", F.xxhash64(F.lit("first"), *content).alias("h1"), F.xxhash64(F.lit("second"), *content[::-1]).alias("h2"))
+    base = base.withColumn("digest", F.md5("text"))
+    hashed = base.select("conv_id", "turn", "role", "digest", F.xxhash64(F.lit("first"), *content).alias("h1"), F.xxhash64(F.lit("second"), *content[::-1]).alias("h2"))
     whole = Window.partitionBy("conv_id")
-    order = whole.orderBy(F.col("turn").asc_nulls_first(), "h1", "h2")
+    order = whole.orderBy("turn", "role", "digest")  # nulls first
     placed = hashed.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(whole))
     rolling = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prefixes = placed.select(
@@ -47,7 +48,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     maximal = stored.join(shorter, ["n", "p1", "p2"], "left_anti").select(F.col("conv_id").alias("kept"), "n_copies")
 
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE + "\n"))
-    lines = base.select("conv_id", F.struct("turn", F.xxhash64(F.lit("first"), *content).alias("h1"), F.xxhash64(F.lit("second"), *content[::-1]).alias("h2"), line.alias("line")).alias("entry"))
+    lines = base.select("conv_id", F.struct("turn", "role", "digest", line.alias("line")).alias("entry"))
     left = lines.join(maximal, F.col("conv_id").eqNullSafe(F.col("kept")))
     grouped = left.groupBy("conv_id", "n_copies").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     return grouped.select("conv_id", F.size("entries").cast("long").alias("n_turns"), "n_copies", F.array_join(F.col("entries.line"), "").alias("rendered"))

@@ -92,12 +92,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_chat_formatting"] = """
-WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l, count(*) AS n FROM conversations GROUP BY conv_id),
+WITH c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS l, count(*) AS n FROM conversations GROUP BY conv_id),
 s AS (SELECT l, min(n) AS n, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY l),
 p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM c))
 SELECT conv_id, n AS n_turns, n_copies,
        array_to_string([concat('<|im_start|>', coalesce(x.role, 'unknown'), chr(10), coalesce(x.text, ''), '<|im_end|>', chr(10)) FOR x IN l], '') AS rendered
-FROM s WHERE l NOT IN (SELECT l FROM p)
+FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l IS NOT DISTINCT FROM s.l)
 """
 
 
