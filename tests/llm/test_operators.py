@@ -470,6 +470,25 @@ def families(rng, n_families, members, words, changes):
     return rows
 
 
+def test_one_of_each(spark, odd):
+    """One row of each component, whatever its ids: repeated rows, null ids, texts that share an id."""
+    base = [f"unit{i}" for i in range(60)]
+    near = " ".join(["other", *base[1:]])
+    text = " ".join(base)
+    rows = [(1, text, "a"), (1, text, "b"), (1, "quite another text of six words", "c"), (2, near, "d"), (None, near, "e"), (None, "only here and without an id", "f"), (None, "only here and without an id", "g"), (3, "quite another text of six words", "h"), (4, None, "i"), (4, "", "j")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, mark string")
+    left = sorted(map(str, jaccard.one_of_each(df.withColumns({"th": F.lit(1), "row": F.lit(2)})).collect()))
+    got = [r for r in jaccard.one_of_each(df.withColumns({"th": F.lit(1), "row": F.lit(2)})).collect()]
+    assert len(got) == len(left) == 5
+    assert [r["doc_id"] for r in got if r["text"] == text] == [1] and not any(r["text"] == near for r in got)
+    assert [r["mark"] for r in got if r["text"] and r["text"].startswith("quite")] == ["c"]
+    assert [r["doc_id"] for r in got if r["text"] and r["text"].startswith("only")] == [None]
+    assert sorted(r["mark"] for r in got if not r["text"]) == ["i", "j"]
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id = 12").count() == 1
+    assert jaccard.one_of_each(odd.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("small,hot,block", [(3, 1 << 15, 16), (32, 20, 4096), (32, 1 << 15, 4096)])
 def test_large_families(spark, monkeypatch, small, hot, block):
     """Families beyond SMALL, dealt-out shingles, several blocks: later rounds find what the first left."""

@@ -40,3 +40,15 @@ def test_columns_stay(spark):
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, SMALL).schema.names == docs.columns
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_odd_documents(spark, odd):
+    """Null ids, repeated rows, shared ids, clashing columns, empty and very long texts go through all stages."""
+    docs = odd
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SMALL)
+        assert docs.columns == odd.columns
+    left = docs.select("doc_id", "text").collect()
+    assert len({(r["doc_id"], r["text"]) for r in left}) == len(left)
+    packed = cp.STAGES[-1][1](spark, docs, SMALL)
+    assert packed.select("doc_id", "piece").distinct().count() == packed.count() >= len(left)

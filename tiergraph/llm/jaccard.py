@@ -37,13 +37,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from tiergraph.llm.components import components
 from tiergraph.llm.tables import named, released, small_batches, staged, unstage
-from tiergraph.llm.textops import LOWER, SAME, SPACED, Texts, find_words, mix64, slices, windows
+from tiergraph.llm.textops import LOWER, SPACED, Texts, find_words, mix64, slices, windows
 
 SIZE = 5
 #: The threshold as a fraction.
@@ -280,13 +279,18 @@ def _meet(nearest: bool):
     return released(run)
 
 
+def text_hash(text: str) -> Column:
+    """Equal for equal texts."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 class _Join:
     """One run of the join over a table of documents."""
 
     def __init__(self, docs: DataFrame, text: str, doc_id: str):
         self.spark = docs.sparkSession
         small_batches(self.spark)
-        self.docs = docs.select(F.col(named(doc_id)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text"))
+        self.docs = docs.select(F.col(named(doc_id)).cast("long").alias("doc_id"), F.col(named(text)).cast("string").alias("text")).withColumn("th", text_hash("text"))
         self.texts = self.docs.select("text")
         self.bits = min(MOST_BITS, max(LEAST_BITS, (8 * docs.count()).bit_length()))
         levels = sketch(self.texts, self.bits, lambda batch: (shingle_sets(t)[1] for t in slices(batch.column(0), LOWER)))
@@ -303,11 +307,8 @@ class _Join:
             groups: set[int] = set()
             known: set[int] = set()
             for batch in batches:
-                doc_ids, at = batch.column(0), 0
-                for raw in slices(batch.column(1), SAME):
-                    body = memoryview(raw.data)
-                    th = np.array([xxh3_64_intdigest(body[a:b]) for a, b in zip(raw.offsets[:-1].tolist(), raw.offsets[1:].tolist(), strict=True)], dtype=np.uint64)
-                    t = Texts(LOWER[raw.data], raw.offsets)
+                doc_ids, th, at = batch.column(0), batch.column(2), 0
+                for t in slices(batch.column(1), LOWER):
                     owner, code = shingle_sets(t)
                     n = np.bincount(owner, minlength=t.n).astype(np.int64)
                     cls = _sums(owner, code, t.n).view(np.int64)
@@ -325,7 +326,7 @@ class _Join:
                     if len(known) > 200_000:
                         known.clear()
                         groups.clear()
-                    columns = [doc_ids[at : at + t.n], pa.array(th.view(np.int64)), pa.array(n), pa.array(cls, mask=n == 0), pa.array(grp, mask=n == 0), pa.array(prefix, pa.binary()), pa.array(parities, pa.binary())]
+                    columns = [doc_ids[at : at + t.n], th[at : at + t.n], pa.array(n), pa.array(cls, mask=n == 0), pa.array(grp, mask=n == 0), pa.array(prefix, pa.binary()), pa.array(parities, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "cls", "grp", "prefix", "sketch"])
                     at += t.n
 
@@ -362,24 +363,18 @@ class _Join:
             slots = np.unpackbits(shared.value).astype(bool)
             seen: set[int] = set()
             for batch in batches:
-                for raw in slices(batch.column(0), SAME):
-                    body = memoryview(raw.data)
-                    bound = raw.offsets.tolist()
-                    th = [xxh3_64_intdigest(body[a:b]) for a, b in zip(bound[:-1], bound[1:], strict=True)]
-                    live = [i for i, h in enumerate(th) if slots[h >> (64 - bits)] and h not in seen]
-                    if not live:
-                        continue
-                    seen.update(th[i] for i in live)
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    offsets = np.cumsum([0, *(bound[i + 1] - bound[i] for i in live)])
-                    t = Texts(LOWER[np.concatenate([raw.data[bound[i] : bound[i + 1]] for i in live])], offsets)
+                th = batch.column(1).to_numpy().view(np.uint64)
+                live = [i for i in np.flatnonzero(slots[(th >> np.uint64(64 - bits)).astype(np.int64)]).tolist() if int(th[i]) not in seen]
+                seen.update(th[live].tolist())
+                if len(seen) > 200_000:
+                    seen.clear()
+                for t in slices(batch.column(0).take(pa.array(live, pa.int64())), LOWER):
                     owner, code = shingle_sets(t)
                     cut = np.searchsorted(owner, np.arange(t.n + 1)).tolist()
                     cls = _sums(owner, code, t.n).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array([code[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["cls", "codes"])
 
-        return self.texts.mapInArrow(released(run), "cls bigint, codes binary")
+        return self.docs.select("text", "th").mapInArrow(released(run), "cls bigint, codes binary")
 
     def keep(self, known: DataFrame, classes: DataFrame) -> DataFrame:
         """(cls, codes): the whole sets of these classes (and of some more), stored."""
@@ -442,8 +437,9 @@ def _between(rows: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bo
     return blocks.mapInArrow(_meet(nearest), _PAIR).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, th, n, cls), th being text_hash of the text and cls null without words; and the components
+    (vertex, root) of the classes that have links."""
     join = _Join(docs, text, doc_id)
     known = staged(join.classes(), "classes")
     members = known.where("cls IS NOT NULL").select("grp", "cls", "n").distinct()
@@ -484,9 +480,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             links = links.union(more)
             roots = components(links)
 
+    return known.select("doc_id", "th", "n", "cls"), roots
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    known, roots = linked(docs, text, doc_id)
     least = known.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least")).join(roots.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = staged(least, "least")
     top = least.groupBy("root").agg(F.min("least").alias("component_id"))
     out = known.select("doc_id", "n", "cls").join(least.join(top, "root").select("cls", "component_id"), "cls", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of one document of each component: the one with the smallest doc_id, rows without one last.
+
+    Of repeated rows (one doc_id, one text) one stays; rows without words, which link with nothing, all stay.
+    """
+    known, roots = linked(docs, text, doc_id)
+    rooted = known.where("cls IS NOT NULL").join(roots.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rows = staged(rooted.groupBy("doc_id", "th").agg(F.min("root").alias("root"), F.count("*").alias("many")), "rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    kept = rows.groupBy("root").agg(best.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th"))
+    told = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left")
+    other = staged(told.where("kept_th IS NULL OR many > 1").select("doc_id", "th", F.col("kept_th").isNotNull().alias("again")), "other")
+    keyed = docs.select(F.struct(*[F.col(named(c)) for c in docs.columns]).alias("row"), F.col(named(doc_id)).cast("long").alias("d"), text_hash(named(text)).alias("t"))
+    match = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))
+    alone = keyed.join(other, match, "left_anti")
+    again = keyed.join(other.where("again"), match, "left_semi").dropDuplicates(["d", "t"])
+    return alone.union(again).select("row.*")
