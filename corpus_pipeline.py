@@ -20,10 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (rows of one doc_id stay together)."""
-    grouped = jaccard.near_duplicates(docs)
-    gone = grouped.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[named(c) for c in docs.columns])
+    """One document of each component: the one with the smallest doc_id; of repeated rows one."""
+    return jaccard.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
