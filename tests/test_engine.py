@@ -56,8 +56,8 @@ def test_power_grid(spark):
     nodes += [(118, 2, 0, 0, gate("AND")), (119, 2, 0, 0, gate("MAJ")), (120, 2, 0, 0, gate("OR")), (121, 1, 0, 0, gate("AND")), (122, 0, 0, 0, gate("ID"))]
     edges = [(118 + k // 6, k % 6, 100 + k) for k in range(18)] + [(121, k, 118 + k) for k in range(3)] + [(122, 0, 121)]
     graph = make_graph(spark, nodes, edges)
-    for rows in (evaluate.LOCAL_ROWS, 0):
-        after = truths(evaluate.tick(graph, local_rows=rows))
+    for rows in (evaluate.BAND_ROWS, 40, 0):
+        after = truths(evaluate.tick(graph, band_rows=rows))
         assert [after[i] for i in range(118, 123)] == [1, 1, 1, 0, 0]
     changed = build.set_values(graph, "truth", spark.createDataFrame([(i, 0) for i in range(100, 104)], "node_id bigint, value int"))
     assert truths(evaluate.tick(changed)) == after
@@ -91,13 +91,32 @@ def test_tick_random(spark, seed):
     assert violations(graph).isEmpty()
     for max_rank in (16, 5):
         want = reference_tick(nodes, edges, max_rank)
-        for rows in (evaluate.LOCAL_ROWS, 0):
+        for rows in (evaluate.BAND_ROWS, 40, 0):
             after = evaluate.tick(graph, 3, max_rank, rows)
             assert truths(after) == want and after.tick == 3
     settled, told = evaluate.resonance(graph)
     assert truths(settled) == reference_tick(nodes, edges, 16) and all(t[2] for t in told)
 
 
+def test_deep_chain(spark):
+    """Twelve hundred ranks: as one band, as several, and with some ranks wide."""
+    n = 1200
+    nodes = [(i, n - i, 1, 0, gate("CONST1") if i == 0 else gate("NOR") if i % 3 == 0 else gate("ID")) for i in range(n)]
+    edges = [(i, 0, i - 1) for i in range(1, n)]
+    graph = make_graph(spark, nodes, edges)
+    want = reference_tick_chain(nodes)
+    for rows in (evaluate.BAND_ROWS, 700):
+        assert truths(evaluate.tick(graph, max_rank=5000, band_rows=rows)) == want
+
+
+def reference_tick_chain(nodes):
+    truth = {}
+    for i, _, _, _, lut in nodes:
+        index = truth[i - 1] if i else 0
+        truth[i] = (lut & (1 << 64) - 1) >> index & 1
+    return truth
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_search_random(spark, seed):
     nodes, edges = random_graph(seed)

@@ -12,47 +12,39 @@ from pyspark.sql import functions as F
 
 from tiergraph.schema import MAX_RANK, Graph, lut_bit, stored
 
-#: Up to so many nodes and edges together, one task evaluates the whole circuit on arrays.
-LOCAL_ROWS = 4_000_000
-#: Distinct ranks a rank-by-rank evaluation accepts.
-RANKS = 1024
+#: Nodes and edges of a band of consecutive ranks that one task evaluates; a wider rank is evaluated by joins.
+BAND_ROWS = 1_000_000
 
 
-def _size(graph: Graph, limit: int) -> int:
-    """Rows of the graph, counted no further than a little over the limit."""
-    rows = graph.nodes.select(F.lit(1)).limit(limit + 1).union(graph.edges.select(F.lit(1)).limit(limit + 1))
-    return rows.count()
+def _band_task(weighted: float | None):
+    """Evaluates a band, from its highest rank down: nodes, and their inputs with the truth of those from above."""
 
-
-def _arrays(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    ids = nodes.node_id.to_numpy()
-    order = np.argsort(ids)
-    place = lambda x: order[np.minimum(np.searchsorted(ids[order], x), len(ids) - 1)]
-    return place(edges.dst.to_numpy()), edges.slot.to_numpy().astype(np.int64), place(edges.src.to_numpy())
-
-
-def _tick_arrays(max_rank: int, weighted: float | None):
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        truth, rank, lut = nodes.truth.to_numpy().astype(np.int64), nodes["rank"].to_numpy(), nodes.lut.to_numpy().astype(np.int64).view(np.uint64)
-        out = nodes[["node_id"]].copy()
-        if len(nodes):
-            dst, slot, src = _arrays(nodes, edges)
-            by_rank = np.argsort(rank[dst], kind="stable")
-            dst, slot, src = dst[by_rank], slot[by_rank], src[by_rank]
-            weight = edges.weight.to_numpy()[by_rank].astype(np.float64) if weighted is not None else None
-            node_order = np.argsort(rank, kind="stable")
-            for r in np.unique(rank[rank < max_rank])[::-1]:
-                own = node_order[slice(*np.searchsorted(rank[node_order], [r, r + 1]))]
-                a, b = np.searchsorted(rank[dst], [r, r + 1])
+        nodes = nodes.sort_values("rank", ascending=False, kind="stable")
+        ids, rank, lut = nodes.node_id.to_numpy(), nodes["rank"].to_numpy(), nodes.lut.to_numpy().astype(np.int64).view(np.uint64)
+        truth = nodes.truth.to_numpy().astype(np.int64)
+        if len(ids):
+            order = np.argsort(ids)
+            ranked = ids[order]
+            place = lambda x: order[np.minimum(np.searchsorted(ranked, x), len(ids) - 1)]
+            dst, src = place(edges.dst.to_numpy()), place(edges.src.to_numpy())
+            by_place = np.argsort(dst, kind="stable")
+            dst, src = dst[by_place], src[by_place]
+            inside = ids[src] == edges.src.to_numpy()[by_place]
+            above = edges.t.to_numpy(dtype=np.float64, na_value=0)[by_place].astype(np.int64)
+            slot = edges.slot.to_numpy().astype(np.int64)[by_place]
+            weight = edges.weight.to_numpy().astype(np.float64)[by_place] if weighted is not None else None
+            starts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+            for first, end in zip(starts, np.append(starts[1:], len(rank)), strict=True):
+                a, b = np.searchsorted(dst, [first, end])
+                value = np.where(inside[a:b], truth[src[a:b]], above[a:b])
                 if weighted is None:
-                    bits = np.bincount(dst[a:b], weights=(truth[src[a:b]] == 1) * (1 << slot[a:b]), minlength=len(rank)).astype(np.uint64) if b > a else np.zeros(len(rank), dtype=np.uint64)
-                    truth[own] = ((lut[own] >> bits[own]) & np.uint64(1)).astype(np.int64)
+                    bits = np.bincount(dst[a:b] - first, weights=(value == 1) * np.exp2(slot[a:b]), minlength=end - first).astype(np.uint64)
+                    truth[first:end] = (lut[first:end] >> bits) & np.uint64(1)
                 else:
-                    value = np.where(truth[src[a:b]] == 1, 1.0, np.where(truth[src[a:b]] == 2, 0.5, 0.0))
-                    total = np.bincount(dst[a:b], weights=weight[a:b] * value, minlength=len(rank))
-                    truth[own] = total[own] >= weighted
-        out["truth"] = truth.astype(np.int16)
-        return out
+                    votes = np.where(value == 1, 1.0, np.where(value == 2, 0.5, 0.0)) * weight[a:b]
+                    truth[first:end] = np.bincount(dst[a:b] - first, weights=votes, minlength=end - first) >= weighted
+        return pd.DataFrame({"node_id": ids, "truth": truth.astype(np.int16)})
 
     return run
 
@@ -64,11 +56,26 @@ def _inputs(edges: DataFrame, state: DataFrame, measure: Column) -> DataFrame:
 
 
 def _ranks(nodes: DataFrame, max_rank: int) -> list[int]:
-    found = [r[0] for r in nodes.where(F.col("rank") < max_rank).select("rank").distinct().limit(RANKS + 1).collect()]
-    if len(found) > RANKS:
-        raise ValueError(f"more than {RANKS} ranks below {max_rank}; rank-ordered evaluation needs a bounded depth")
-    return sorted(found, reverse=True)
-
+    """The ranks in use below max_rank, from the highest."""
+    return sorted((r[0] for r in nodes.where(F.col("rank") < max_rank).select("rank").distinct().collect()), reverse=True)  # max_rank rows at most
+
+
+def _bands(nodes: DataFrame, inputs: DataFrame, max_rank: int, band_rows: int) -> list[tuple[int, int, bool]]:
+    """(lowest, highest rank, whether it is one wide rank) of consecutive ranks in use, from the highest."""
+    sizes = nodes.where(F.col("rank") < max_rank).select("rank").unionByName(inputs.select(F.col("r").alias("rank"))).groupBy("rank").agg(F.count("*").alias("n"))
+    out: list[tuple[int, int, bool]] = []
+    room = 0
+    for r, n in sorted(((x["rank"], x["n"]) for x in sizes.collect()), reverse=True):  # max_rank rows at most
+        if n > band_rows:
+            out.append((r, r, True))
+            room = 0
+        elif n <= room:
+            out[-1] = (r, out[-1][1], False)
+            room -= n
+        else:
+            out.append((r, r, False))
+            room = band_rows - n
+    return out
 
 
 def _bit_sum() -> Column:
@@ -79,35 +86,36 @@ def _weight_sum() -> Column:
     return F.col("weight").cast("double") * F.when(F.col("t") == 1, 1.0).when(F.col("t") == 2, 0.5).otherwise(0.0)
 
 
-def _sweep(graph: Graph, max_rank: int, weighted: float | None) -> DataFrame:
-    """(node_id, truth) after one pass from the highest evaluated rank to the lowest, rank by rank."""
-    nodes = graph.nodes.select("node_id", "rank", "truth", "lut")
-    done = [nodes.where(F.col("rank") >= max_rank).select("node_id", "truth")]
-    tagged = graph.edges.join(nodes.select(F.col("node_id").alias("dst"), F.col("rank").alias("r")).where(F.col("r") < max_rank), "dst")
-    tagged = stored(tagged)
-    for r in _ranks(nodes, max_rank):
+def _evaluated(graph: Graph, max_rank: int, weighted: float | None, band_rows: int) -> DataFrame:
+    """The nodes after one evaluation, from the highest rank below max_rank to the lowest.
+
+    Consecutive ranks go together as long as a task can hold them; a wider rank is a join and a sum of its
+    own.  Each step is stored, so plans stay short and a lost executor costs one step.
+    """
+    nodes = stored(graph.nodes)
+    core = nodes.select("node_id", "rank", "truth", "lut")
+    inputs = stored(graph.edges.join(core.select(F.col("node_id").alias("dst"), F.col("rank").alias("r")).where(F.col("r") < max_rank), "dst"))
+    done = [core.where(F.col("rank") >= max_rank).select("node_id", "truth")]
+    for lo, hi, wide in _bands(core, inputs, max_rank, band_rows):
         state = done[0]
         for more in done[1:]:
             state = state.unionByName(more)
-        x = _inputs(tagged.where(F.col("r") == r), state, _bit_sum() if weighted is None else _weight_sum())
-        own = nodes.where(F.col("rank") == r).join(x, "node_id", "left").withColumn("x", F.coalesce("x", F.lit(0)))
-        value = lut_bit(F.col("lut"), F.col("x")) if weighted is None else (F.col("x") >= weighted).cast("int")
-        done.append(stored(own.select("node_id", value.cast("smallint").alias("truth"))))
+        own, edges = core.where(F.col("rank").between(lo, hi)), inputs.where(F.col("r").between(lo, hi))
+        if wide:
+            x = _inputs(edges, state, _bit_sum() if weighted is None else _weight_sum())
+            joined = own.join(x, "node_id", "left").withColumn("x", F.coalesce("x", F.lit(0)))
+            value = lut_bit(F.col("lut"), F.col("x")) if weighted is None else (F.col("x") >= weighted).cast("int")
+            step = joined.select("node_id", value.cast("smallint").alias("truth"))
+        else:
+            sources = state.select(F.col("node_id").alias("src"), F.col("truth").alias("t"))
+            fed = edges.join(sources, "src", "left").select("dst", "slot", "src", "weight", "t")
+            one = F.lit(0).alias("k")
+            step = own.groupBy(one).cogroup(fed.groupBy(one)).applyInPandas(_band_task(weighted), "node_id bigint, truth smallint")
+        done.append(stored(step))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
-
-
-def _evaluated(graph: Graph, max_rank: int, weighted: float | None, local_rows: int) -> DataFrame:
-    """The nodes after one evaluation."""
-    if _size(graph, local_rows) <= local_rows:
-        nodes = graph.nodes.select("node_id", "rank", "truth", "lut").groupBy(F.lit(0).alias("k"))
-        edges = graph.edges.select("dst", "slot", "src", *["weight"] * (weighted is not None)).groupBy(F.lit(0).alias("k"))
-        truth = nodes.cogroup(edges).applyInPandas(_tick_arrays(max_rank, weighted), "node_id bigint, truth smallint")
-    else:
-        truth = _sweep(graph, max_rank, weighted)
-    return graph.nodes.drop("truth").join(truth, "node_id").select(graph.nodes.columns)
+    return nodes.drop("truth").join(out, "node_id").select(graph.nodes.columns)
 
 
 def latch(nodes: DataFrame, back_edges: DataFrame) -> DataFrame:
@@ -117,7 +125,7 @@ def latch(nodes: DataFrame, back_edges: DataFrame) -> DataFrame:
     return nodes.join(taken, "node_id", "left").withColumn("truth", F.coalesce("next", "truth")).select(nodes.columns)
 
 
-def tick(graph: Graph, n: int = 1, max_rank: int = MAX_RANK, local_rows: int = LOCAL_ROWS, idempotent: bool | None = None) -> Graph:
+def tick(graph: Graph, n: int = 1, max_rank: int = MAX_RANK, band_rows: int = BAND_ROWS, idempotent: bool | None = None) -> Graph:
     """Evaluate n times.  Nodes at or above max_rank keep their truth; undefined inputs read as 0.
 
     Without registers a valid graph does not change after the first evaluation, so one stands for all n;
@@ -130,21 +138,21 @@ def tick(graph: Graph, n: int = 1, max_rank: int = MAX_RANK, local_rows: int = L
     now = graph
     for _ in range(1 if once else n):
         if registers is None:
-            nodes = _evaluated(now, max_rank, None, local_rows)
+            nodes = _evaluated(now, max_rank, None, band_rows)
         else:
             # A register stands for its stored truth while the gates are evaluated.
             ids = registers.select(F.col("dst").alias("node_id")).distinct().withColumn("register", F.lit(True))
             marked = now.nodes.join(ids, "node_id", "left")
             fixed = F.when(F.col("register"), F.when(F.col("truth") == 1, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")).otherwise(F.col("lut"))
-            held = stored(_evaluated(now.with_nodes(marked.withColumn("lut", fixed).select(now.nodes.columns)), max_rank, None, local_rows))
+            held = stored(_evaluated(now.with_nodes(marked.withColumn("lut", fixed).select(now.nodes.columns)), max_rank, None, band_rows))
             nodes = latch(held.drop("lut").join(now.nodes.select("node_id", "lut"), "node_id").select(now.nodes.columns), registers)
         now = now.with_nodes(nodes if once and n == 1 else stored(nodes))
     return replace(now, tick=graph.tick + n)
 
 
-def weighted_tick(graph: Graph, threshold: float, max_rank: int = MAX_RANK, local_rows: int = LOCAL_ROWS) -> Graph:
+def weighted_tick(graph: Graph, threshold: float, max_rank: int = MAX_RANK, band_rows: int = BAND_ROWS) -> Graph:
     """Evaluate once by weighted votes: 1 if the weighted sum of inputs (undefined: one half) reaches the threshold."""
-    return replace(graph.with_nodes(_evaluated(graph, max_rank, threshold, local_rows)), tick=graph.tick + 1)
+    return replace(graph.with_nodes(_evaluated(graph, max_rank, threshold, band_rows)), tick=graph.tick + 1)
 
 
 def reset_rank(graph: Graph, rank: int) -> Graph:
@@ -196,7 +204,7 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     fed = edges.select(F.col("dst").alias("node_id")).distinct().withColumn("fed", F.lit(True))
     # Sources keep their state: a table that is constant stands in for it.
     own = flipped.join(fed, "node_id", "left").withColumn("lut", F.when(F.col("fed"), F.col("lut")).otherwise(-F.col("truth").cast("bigint"))).drop("fed")
-    after = _evaluated(Graph(own, edges), int(top) + 1, None, LOCAL_ROWS)
+    after = _evaluated(Graph(own, edges), int(top) + 1, None, BAND_ROWS)
     forward = after.select("node_id", (F.lit(top) - F.col("rank")).alias("rank"), F.col("truth").alias("state"), F.lit("forward").alias("stage"))
     back = forward.select((F.col("node_id") + int(n) + 1).alias("node_id"), (F.lit(2 * int(top) + 1) - F.col("rank")).alias("rank"), "state", F.lit("backward").alias("stage"))
     return forward.unionByName(back)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tiergraph.schema import Graph, GraphError, stored
 
-#: Up to so many edges, one task searches on arrays.
+#: Up to so many edges, one task does an unbounded search on arrays.
 LOCAL_EDGES = 2_000_000
 
 
@@ -26,33 +24,45 @@ def _steps(edges: DataFrame, undirected: bool) -> DataFrame:
     return steps.unionByName(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))) if undirected else steps
 
 
-def _search(seed: int, limit: int | None):
+def _search(seed: int):
+    """Depths of a search from the seed over (a, b) steps, level by level on arrays."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(rows.a.to_numpy(), kind="stable")
-        a, b = rows.a.to_numpy()[order], rows.b.to_numpy()[order]
-        depth, queue = {seed: 0}, deque([seed])
-        while queue:
-            v = queue.popleft()
-            if limit is not None and depth[v] >= limit:
-                continue
-            for w in b[slice(*np.searchsorted(a, [v, v + 1]))].tolist():
-                if w not in depth:
-                    depth[w] = depth[v] + 1
-                    queue.append(w)
-        return pd.DataFrame({"node_id": list(depth), "depth": list(depth.values())}).astype("int64")
+        a, b = rows.a.to_numpy(), rows.b.to_numpy()
+        ids = np.unique(np.concatenate([a, b]))
+        a, b = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        order = np.argsort(a, kind="stable")
+        first = np.searchsorted(a[order], np.arange(len(ids) + 1))
+        b = b[order]
+        depth = np.full(len(ids), -1, dtype=np.int64)
+        level, now = np.searchsorted(ids, [seed]), 0
+        depth[level] = 0
+        while len(level):
+            now += 1
+            many = first[level + 1] - first[level]
+            steps = np.arange(many.sum()) + np.repeat(first[level] - np.cumsum(many) + many, many)
+            level = np.unique(b[steps])
+            level = level[depth[level] < 0]
+            depth[level] = now
+        found = depth >= 0
+        return pd.DataFrame({"node_id": ids[found], "depth": depth[found]})
 
     return run
 
 
 def reached(graph: Graph, seed: int, undirected: bool = False, limit: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(node_id, depth) of the nodes a breadth-first search from the seed finds, to a depth if one is given."""
+    """(node_id, depth) of the nodes a breadth-first search from the seed finds, to a depth if one is given.
+
+    A bounded search is a join a level.  An unbounded one may need as many levels as there are nodes: one task
+    searches as many edges as it can hold, and beyond that it goes level by level as well, with equal results.
+    """
     _require(graph, seed)
     spark = graph.spark
-    steps = _steps(graph.edges, undirected)
-    if graph.edges.select(F.lit(1)).limit(local_edges + 1).count() <= local_edges:
+    steps = stored(_steps(graph.edges, undirected))
+    if limit is None and steps.select(F.lit(1)).limit(local_edges + 1).count() <= local_edges:
         # A row for the seed keeps the group alive in a graph without edges.
         rows = steps.unionByName(spark.createDataFrame([(seed, seed)], "a bigint, b bigint"))
-        return rows.groupBy(F.lit(0).alias("k")).applyInPandas(_search(seed, limit), "node_id bigint, depth bigint")
+        return rows.groupBy(F.lit(0).alias("k")).applyInPandas(_search(seed), "node_id bigint, depth bigint")
     frontier = spark.createDataFrame([(seed, 0)], "node_id bigint, depth bigint")
     visited, depth = frontier, 0
     while limit is None or depth < limit:

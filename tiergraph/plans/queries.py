@@ -72,8 +72,8 @@ def tick_tree_rank_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TREE + " SELECT CAST(rank AS BIGINT) AS rank, count(*) AS n, CAST(sum(t) AS BIGINT) AS n_true FROM g GROUP BY rank")
 def tick_tree_by_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the distributed sweep, rank by rank."""
-    after = evaluate.tick(line_tree(spark, sf_dir), local_rows=0)
+    """The same with every rank by joins, as for ranks that no task can hold."""
+    after = evaluate.tick(line_tree(spark, sf_dir), band_rows=0)
     return after.nodes.groupBy("rank").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == 1).alias("n_true"))
 
 
