@@ -1,5 +1,6 @@
 """The pipeline against the plain operators, stage by stage."""
 
+import pathlib
 import zlib
 
 import brute
@@ -9,7 +10,8 @@ import public_tokenizers
 from llm_data import SMALL
 from tokenizers import Tokenizer
 
-from tiergraph.llm import packing, quality, secrets
+from tiergraph.llm import jaccard, packing, quality, secrets
+from tiergraph.llm.tables import shared_folder
 
 
 def test_stages(spark):
@@ -52,3 +54,26 @@ def test_odd_documents(spark, odd):
     assert len({(r["doc_id"], r["text"]) for r in left}) == len(left)
     packed = cp.STAGES[-1][1](spark, docs, SMALL)
     assert packed.select("doc_id", "piece").distinct().count() == packed.count() >= len(left)
+
+
+def test_stages_leave_no_copies(spark):
+    """A stage stores no copy of the texts, and near duplicates leave one small table."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    folder = pathlib.Path(shared_folder(spark)) / "tiergraph" / spark.sparkContext.applicationId
+    before = {p.name for p in folder.glob("*")}
+    kept = cp.quality_rules(spark, docs, SMALL)
+    assert {p.name for p in folder.glob("*")} == before
+    left = cp.ngram_jaccard_join(spark, kept, SMALL)
+    assert [p.name.split("-")[0] for p in folder.glob("*") if p.name not in before] == ["other"]
+    assert 0 < left.count() < kept.count() < docs.count()
+
+
+def test_rows_that_a_bitmap_lets_through(spark, monkeypatch):
+    """Rows whose slot is that of a dropped row stay, though the bitmap does not tell them apart."""
+    rows = [(i, f"{i // 2 if i < 40 else i} a text of its own with a number") for i in range(200)]
+    docs = spark.createDataFrame([*rows, *rows[100:110]], "doc_id bigint, text string")
+    want = [i for i in range(200) if i >= 40 or i % 2 == 0]
+    for bits in (4, 18):
+        monkeypatch.setattr(jaccard, "LEAST_BITS", bits)
+        monkeypatch.setattr(jaccard, "MOST_BITS", bits)
+        assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == want

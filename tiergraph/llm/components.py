@@ -41,4 +41,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         live, turn = left, turn + 1
         if live.isEmpty():
             least = names.groupBy("root").agg(F.min("vertex").alias("least"))
-            return staged(names.join(least, "root").select("vertex", F.col("least").alias("root")), "roots")
+            out = staged(names.join(least, "root").select("vertex", F.col("least").alias("root")), "roots")
+            unstage(names, live)
+            return out

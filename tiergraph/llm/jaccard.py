@@ -21,8 +21,8 @@ sets link when their Jaccard similarity reaches the threshold.  The join is exac
    is lost; a family of n copies that hang together costs n pairs, and one that does not costs
    comparisons of sketches inside tasks, not rows.
 
-The count sketch has a size bound (2 ** MOST_BITS bytes), and so has the bitmap that says which texts are
-read again.  Nothing else is broadcast or collected.
+The count sketch has a size bound (2 ** MOST_BITS bytes), and so have the bitmaps that say which texts are
+read again, and which rows may not stay as they are.  Nothing else is broadcast or collected.
 
 Defined cases: null, empty or blank texts have an empty set, link with nothing and are their own component;
 repeated rows are members of one class; rows without a doc_id get a null component, and never lend it to
@@ -438,8 +438,8 @@ def _between(rows: DataFrame, roots: DataFrame, sketches: DataFrame, nearest: bo
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, th, n, cls), th being text_hash of the text and cls null without words; and the components
-    (vertex, root) of the classes that have links."""
+    """Documents (doc_id, th, n, cls and more), th being text_hash of the text and cls null without words; and the
+    components (vertex, root) of the classes that have links.  Both are stored, and nothing else stays stored."""
     join = _Join(docs, text, doc_id)
     known = staged(join.classes(), "classes")
     members = known.where("cls IS NOT NULL").select("grp", "cls", "n").distinct()
@@ -461,7 +461,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple
     large = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), "place").union(wide.select("token", "grp", "place"))
     rows = large.join(side, "grp").select("token", "n", "place", F.col("cls").alias("id"))
     rows = staged(rows.union(within.where("kind = 1").select(F.col("a").alias("token"), "n", "place", F.col("b").alias("id"))), "large")
-    unstage(found, within)
+    unstage(found, within, members)
 
     paired = tried.select(F.col("a").alias("cls")).union(tried.select("b")).union(rows.select("id")).distinct()
     sketches = staged(known.where("sketch IS NOT NULL").select("cls", "n", "sketch").join(paired, "cls", "left_semi").groupBy("cls", "n").agg(F.first("sketch").alias("sketch")), "sketches")
@@ -469,18 +469,23 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple
     sets = join.keep(known, near.select(F.col("a").alias("cls")).union(near.select("b")).union(rows.select("id")).distinct())
     links = staged(_verified(near, sets), "links")
     roots = components(links)
+    stored = [tried, rows, sketches, near, sets, links]
     # Large buckets again: first the nearest partner of whoever is outside, then all that is left between components.
     for nearest in (True, False) if not rows.isEmpty() else ():
         fresh = staged(_between(rows, roots, sketches, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        stored.append(fresh)
         if fresh.isEmpty():
             continue
         tried = tried.union(fresh)
         more = staged(_verified(fresh, sets), "links")
+        stored.append(more)
         if not more.isEmpty():
             links = links.union(more)
+            stored.append(roots)
             roots = components(links)
+    unstage(*stored)
 
-    return known.select("doc_id", "th", "n", "cls"), roots
+    return known, roots
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -506,8 +511,19 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     kept = rows.groupBy("root").agg(best.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.th").alias("kept_th"))
     told = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")), "left")
     other = staged(told.where("kept_th IS NULL OR many > 1").select("doc_id", "th", F.col("kept_th").isNotNull().alias("again")), "other")
+    unstage(known, roots, rows)
     keyed = docs.select(F.struct(*[F.col(named(c)) for c in docs.columns]).alias("row"), F.col(named(doc_id)).cast("long").alias("d"), text_hash(named(text)).alias("t"))
+    # Only rows that a bitmap of the others' keys does not rule out are joined with them, so other texts stay where they are.
+    key, bits = F.xxhash64("d", "t"), min(MOST_BITS, max(LEAST_BITS, (64 * other.count()).bit_length()))
+    wanted = sketch(other.select(F.xxhash64("doc_id", "th")), bits, lambda batch: [batch.column(0).to_numpy().view(np.uint64)])
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted > 0))
+
+    @F.arrow_udf("boolean")
+    def hit(keys: pa.Array) -> pa.Array:
+        slot = (keys.to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+        return pa.array(shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 == 1)
+
     match = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("th"))
-    alone = keyed.join(other, match, "left_anti")
-    again = keyed.join(other.where("again"), match, "left_semi").dropDuplicates(["d", "t"])
-    return alone.union(again).select("row.*")
+    alone = keyed.where(hit(key)).join(other, match, "left_anti")
+    again = keyed.where(hit(key)).join(other.where("again"), match, "left_semi").dropDuplicates(["d", "t"])
+    return keyed.where(~hit(key)).union(alone).union(again).select("row.*")
