@@ -108,3 +108,26 @@ def test_registers():
     assert len(set(groups.tolist())) == 3 and all(len(set(groups[4 * k : 4 * k + 4].tolist())) == 1 for k in range(3))
     symbol, text = np.array([0, 9, 4, 4, 9, 0, 9]), np.array([0, 0, 0, 0, 0, 1, 1])
     assert mixing.registers_of(symbol, text, groups).tolist() == [0, 1, 1, 1, 2, 0, 1]
+
+
+def test_every_repeated_word_is_a_context(spark, monkeypatch):
+    """Words beyond those with a broadcast count have contexts of their own, and scores do not depend on KNOWN."""
+    rng = np.random.default_rng(8)
+    often = [k for k in range(400) for _ in range(2 + 600 // (k + 1))]
+    texts = [" ".join(f"w{k}" for k in rng.permutation(often)[:300]) for _ in range(20)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    monkeypatch.setattr(mixing, "LEAST_SHARE", 1 / 40)
+    (t,) = slices(pa.array([" ".join(f"w{k}" for k in range(400))]), LOWER)
+    counts, models, scores = mixing.count_words(docs), [], []
+    for known in (1 << 17, 60):
+        monkeypatch.setattr(mixing, "KNOWN", known)
+        models.append(mixing.build_lexicon(counts, docs))
+        scores.append(mixing.Scorer(models[-1], *mixing.train(docs, models[-1])).score(t)[1])
+    assert len(models[0].codes) > 200 and not len(models[0].told) and len(models[1].codes) == 60
+    codes = mixing.find_words(t, mixing.SPACED).code
+    twice = np.isin(codes, models[0].codes)
+    before, own = np.append(False, twice), mixing.read_tokens(t, models[1]).contexts[1]
+    assert (own[before] == mixing.mix64(codes[twice])).all()
+    # Words seen once or never are one, but for what the bitmap takes for others.
+    assert models[1].own_context(np.arange(1, 20001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).mean() < 0.03
+    assert np.allclose(*scores, rtol=1e-3)

@@ -21,7 +21,11 @@ weight, and in scoring once in a task, as far as CACHED goes.
 
 The table has a slot for 64 bytes of training text, up to 2 ** MOST_BITS; the vocabulary is a table without
 bound, in shared storage.  Only the head, the counts of the KNOWN most frequent words, slots, weights and map
-are broadcast.
+are broadcast, and a bitmap of all other words that occur more than once, of TOLD_BITS bits or more a word.
+
+Every previous word that occurs more than once in the training texts has a context of its own, however many
+there are: KNOWN decides which counts are broadcast and no more.  Words seen once or never share one context by
+register, save the few (1.4 % at most) that the bitmap takes for others.
 
 The base score is the add-one unigram model with exact counts of all words: those of the KNOWN words come
 with the broadcast, all others by a join on the word.
@@ -52,6 +56,8 @@ from tiergraph.llm.textops import LOWER, SPACED, Texts, find_words, mix64, slice
 #: Share of the training tokens that makes a word one of the head, and share from which a tree's node is mixed
 #: over; words whose counts are broadcast.
 LEAST_SHARE, WORD_SHARE, KNOWN = 1 / 8192, 1 / 8192, 1 << 17
+#: Bits of the bitmap for a word that is in the training texts more than once, and not among the KNOWN, at least.
+TOLD_BITS = 16
 #: Slots of the table: a slot for so many bytes of training text, within these bounds; slices of the table.
 SLOT_BYTES, LEAST_BITS, MOST_BITS, SLICES = 8, 18, 23, 64
 #: Bytes of text whose decisions are held at a time: the first block of a task, and the largest.
@@ -150,6 +156,20 @@ class Lexicon:
     escape: int
     register: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # of the HINTS first symbols
     bits: int = LEAST_BITS
+    told: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint8))  # bitmap of other words with own contexts
+
+    def own_context(self, codes: np.ndarray) -> np.ndarray:
+        """Whether the bitmap has these words."""
+        if not len(self.told):
+            return np.zeros(len(codes), dtype=bool)
+        one, two = _told_slots(codes, (8 * len(self.told)).bit_length() - 1)
+        return (self.told[one >> 3] >> (one & 7).astype(np.uint8) & self.told[two >> 3] >> (two & 7).astype(np.uint8) & 1) == 1
+
+
+def _told_slots(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A word's two places in the bitmap."""
+    one = mix64(codes ^ np.uint64(0x7A3D9E51))
+    return tuple((x >> np.uint64(64 - bits)).astype(np.int64) for x in (one, mix64(one)))
 
 
 @dataclass
@@ -251,10 +271,11 @@ def read_tokens(t: Texts, lexicon: Lexicon) -> Tokens:
     before[bound[:-1] + np.arange(t.n)] = _END
     register = registers_of(symbol, text, lexicon.register)
     near = register.astype(np.uint64)
-    # Previous words without a broadcast count are one, by register.
+    # Previous words that the training texts do not have twice are one, by register.
     plain = mix64(near + np.uint64(2 << 32))
     told = np.zeros(total, dtype=bool)
     told[at] = inside
+    told[at[rare]] = lexicon.own_context(codes)
     one = np.where(np.concatenate([[True], told[:-1]])[:total] | (before == _END), mix64(before), plain)
     contexts = [mix64(near + np.uint64(1 << 32)), one]
     spelled = np.flatnonzero(rank == lexicon.escape)
@@ -529,7 +550,8 @@ def build_lexicon(counts: DataFrame, learn_from: DataFrame) -> Lexicon:
     ends = told[2]["n"] if 2 in told else 0
     total = (told[0]["n"] if 0 in told else 0) + ends
     distinct = (told[0]["v"] if 0 in told else 0) + (ends > 0)
-    rows = words.where("n > 1").orderBy(F.desc("n"), "code").limit(KNOWN).select("code", "n").collect()
+    most = max(KNOWN, int(np.ceil(1 / LEAST_SHARE)))  # no more words can be of the head
+    rows = words.where("n > 1").orderBy(F.desc("n"), "code").limit(most).select("code", "n").collect()
     codes = np.array([r["code"] for r in rows], dtype=np.int64).view(np.uint64)
     n = np.array([r["n"] for r in rows], dtype=np.int64)
     head = int((n >= LEAST_SHARE * total).sum())
@@ -539,7 +561,39 @@ def build_lexicon(counts: DataFrame, learn_from: DataFrame) -> Lexicon:
         letters[r["code"]] = r["n"]
     order = np.argsort(codes)
     bits = min(MOST_BITS, max(LEAST_BITS, (int(letters.sum()) // SLOT_BYTES).bit_length()))
-    return Lexicon(codes[order], n[order], order, tree, letter_trees(letters), total, distinct, ends, head, group_hints(learn_from, codes[: min(head, HINTS)]), bits)
+    return Lexicon(codes[order], n[order], order, tree, letter_trees(letters), total, distinct, ends, head, group_hints(learn_from, codes[: min(head, HINTS)]), bits, told_words(words, *rows[-1]) if len(rows) == most else np.zeros(0, dtype=np.uint8))
+
+
+def told_words(words: DataFrame, code: int, n: int) -> np.ndarray:
+    """A bitmap of all words that occur more than once and come behind this one, by count and then code."""
+    rest = words.where((F.col("n") > 1) & ((F.col("n") < n) | (F.col("n") == n) & (F.col("code") > code))).select("code")
+    many = rest.count()
+    if not many:
+        return np.zeros(0, dtype=np.uint8)
+    bits = max(12, (TOLD_BITS * many - 1).bit_length())
+    per = (1 << bits) // 8 // SLICES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(SLICES * per, dtype=np.uint8)
+        for batch in batches:
+            for slot in _told_slots(batch.column(0).to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(own, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(own[k * per : (k + 1) * per].tobytes(), 1) for k in range(SLICES)], pa.binary())], names=["slice", "body"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) | np.frombuffer(zlib.decompress(body), dtype=np.uint8)
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())], names=["slice", "body"])
+
+    schema = "slice int, body binary"
+    out = np.zeros(SLICES * per, dtype=np.uint8)
+    for r in rest.mapInArrow(released(run), schema).repartition(SLICES, "slice").mapInArrow(released(add), schema).collect():  # 2 to 4 bytes a word
+        out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(zlib.decompress(r["body"]), dtype=np.uint8)
+    return out
 
 
 def group_hints(source: DataFrame, codes: np.ndarray) -> np.ndarray:
