@@ -13,7 +13,7 @@ from tiergraph.operators import build, distance, evaluate, grid, report, select,
 from tiergraph.operators.validate import violations
 from tiergraph.plans.graphs import EVENT_CODES, TREE_GATES, conversation_graph, event_graph, event_rows, geography, line_tree, table
 from tiergraph.schema import GATES, TOP_RANK, Graph, gate, make_graph, shared_folder, stored
-from tiergraph.sources import files, history
+from tiergraph.sources import arrays, files, history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -627,7 +627,9 @@ def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS} SELECT dst, CAST(slot AS BIGINT) AS slot, src FROM e")
 def buffers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(files.from_buffers(spark, files.to_buffers(event_graph(spark, sf_dir))).edges.drop("weight"))
+    path = _new_path(spark, "buffers")
+    arrays.write_buffers(event_graph(spark, sf_dir), path)
+    return _long(arrays.read_buffers(spark, path).edges.drop("weight"))
 
 
 @query("SELECT i AS node_id, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS truth FROM range(3, 40) AS t(i) UNION ALL SELECT i, 1, 1 FROM range(3) AS t(i)")
