@@ -617,7 +617,9 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ALL_NODES)
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(files.from_json(spark, files.to_json(event_graph(spark, sf_dir))).nodes.drop("lut"))
+    path = _new_path(spark, "json")
+    arrays.write_json(event_graph(spark, sf_dir), path)
+    return _long(arrays.read_json(spark, path).nodes.drop("lut"))
 
 
 @query(f"WITH {EVENTS} SELECT dst, CAST(slot AS BIGINT) AS slot, src FROM e")
