@@ -624,7 +624,9 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS} SELECT dst, CAST(slot AS BIGINT) AS slot, src FROM e")
 def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(files.from_snapshot(spark, files.to_snapshot(event_graph(spark, sf_dir), compressed=True)).edges.drop("weight"))
+    path = _new_path(spark, "snapshot")
+    arrays.write_snapshot(event_graph(spark, sf_dir), path, compressed=True)
+    return _long(arrays.read_snapshot(spark, path).edges.drop("weight"))
 
 
 @query(f"WITH {EVENTS} SELECT dst, CAST(slot AS BIGINT) AS slot, src FROM e")
