@@ -12,28 +12,31 @@ from pyspark.sql import functions as F
 
 from tiergraph.schema import MAX_RANK, Graph, lut_bit, stored
 
-#: Nodes and edges of a band of consecutive ranks that one task evaluates; a wider rank is evaluated by joins.
+#: Inputs of a band of consecutive ranks that one task evaluates; a wider rank is evaluated by joins.
 BAND_ROWS = 1_000_000
+#: Inputs that are sent to every task, which then finds their sources without a shuffle of all truths.
+SENT_ROWS = 1_000_000
 
 
-def _band_task(weighted: float | None):
-    """Evaluates a band, from its highest rank down: nodes, and their inputs with the truth of those from above."""
+def _band_task(weighted: float | None, marked: bool):
+    """Evaluates a band, from its highest rank down: its inputs (t -1), and those from above that count, with their truth."""
 
-    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("rank", ascending=False, kind="stable")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = rows[rows.t < 0].drop_duplicates("node_id").sort_values("rank", ascending=False, kind="stable")
         ids, rank, lut = nodes.node_id.to_numpy(), nodes["rank"].to_numpy(), nodes.lut.to_numpy().astype(np.int64).view(np.uint64)
-        truth = nodes.truth.to_numpy().astype(np.int64)
+        was = nodes.was.to_numpy().astype(np.int64)
+        truth = was.copy()
         if len(ids):
             order = np.argsort(ids)
             ranked = ids[order]
             place = lambda x: order[np.minimum(np.searchsorted(ranked, x), len(ids) - 1)]
-            dst, src = place(edges.dst.to_numpy()), place(edges.src.to_numpy())
+            dst, src = place(rows.node_id.to_numpy()), place(rows.src.to_numpy())
             by_place = np.argsort(dst, kind="stable")
             dst, src = dst[by_place], src[by_place]
-            inside = ids[src] == edges.src.to_numpy()[by_place]
-            above = edges.t.to_numpy(dtype=np.float64, na_value=0)[by_place].astype(np.int64)
-            slot = edges.slot.to_numpy().astype(np.int64)[by_place]
-            weight = edges.weight.to_numpy().astype(np.float64)[by_place] if weighted is not None else None
+            inside = ids[src] == rows.src.to_numpy()[by_place]
+            above = np.maximum(rows.t.to_numpy().astype(np.int64), 0)[by_place]
+            slot = rows.slot.to_numpy().astype(np.int64)[by_place]
+            weight = rows.weight.to_numpy().astype(np.float64)[by_place] if weighted is not None else None
             starts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
             for first, end in zip(starts, np.append(starts[1:], len(rank)), strict=True):
                 a, b = np.searchsorted(dst, [first, end])
@@ -44,36 +47,27 @@ def _band_task(weighted: float | None):
                 else:
                     votes = np.where(value == 1, 1.0, np.where(value == 2, 0.5, 0.0)) * weight[a:b]
                     truth[first:end] = np.bincount(dst[a:b] - first, weights=votes, minlength=end - first) >= weighted
-        return pd.DataFrame({"node_id": ids, "truth": truth.astype(np.int16)})
+                if marked:
+                    truth[first:end] = np.where(truth[first:end] == was[first:end], truth[first:end], 2)
+        return nodes.drop(columns=["slot", "src", "weight", "t"]).assign(truth=truth.astype(np.int16))
 
     return run
 
 
-def _inputs(edges: DataFrame, state: DataFrame, measure: Column) -> DataFrame:
-    """(node_id, x): a sum over each node's inputs."""
-    sources = state.select(F.col("node_id").alias("src"), F.col("truth").alias("t"))
-    return edges.join(sources, "src").groupBy("dst").agg(F.sum(measure).alias("x")).withColumnRenamed("dst", "node_id")
-
-
-def _ranks(nodes: DataFrame, max_rank: int) -> list[int]:
-    """The ranks in use below max_rank, from the highest."""
-    return sorted((r[0] for r in nodes.where(F.col("rank") < max_rank).select("rank").distinct().collect()), reverse=True)  # max_rank rows at most
-
-
-def _bands(nodes: DataFrame, inputs: DataFrame, max_rank: int, band_rows: int) -> list[tuple[int, int, bool]]:
-    """(lowest, highest rank, whether it is one wide rank) of consecutive ranks in use, from the highest."""
-    sizes = nodes.where(F.col("rank") < max_rank).select("rank").unionByName(inputs.select(F.col("r").alias("rank"))).groupBy("rank").agg(F.count("*").alias("n"))
-    out: list[tuple[int, int, bool]] = []
+def _bands(inputs: DataFrame, band_rows: int) -> list[tuple[int, int, int, bool]]:
+    """(lowest, highest rank, inputs, whether it is one wide rank) of consecutive ranks in use, from the highest."""
+    sizes = inputs.groupBy("rank").agg(F.count("*").alias("n"))
+    out: list[tuple[int, int, int, bool]] = []
     room = 0
     for r, n in sorted(((x["rank"], x["n"]) for x in sizes.collect()), reverse=True):  # max_rank rows at most
         if n > band_rows:
-            out.append((r, r, True))
+            out.append((r, r, n, True))
             room = 0
         elif n <= room:
-            out[-1] = (r, out[-1][1], False)
+            out[-1] = (r, out[-1][1], out[-1][2] + n, False)
             room -= n
         else:
-            out.append((r, r, False))
+            out.append((r, r, n, False))
             room = band_rows - n
     return out
 
@@ -86,36 +80,54 @@ def _weight_sum() -> Column:
     return F.col("weight").cast("double") * F.when(F.col("t") == 1, 1.0).when(F.col("t") == 2, 0.5).otherwise(0.0)
 
 
-def _evaluated(graph: Graph, max_rank: int, weighted: float | None, band_rows: int) -> DataFrame:
-    """The nodes after one evaluation, from the highest rank below max_rank to the lowest.
+def _evaluated(graph: Graph, max_rank: int, weighted: float | None, band_rows: int, marked: bool = False) -> DataFrame:
+    """The nodes after one evaluation, from the highest rank below max_rank to the lowest, and their truth before (was).
 
-    Consecutive ranks go together as long as a task can hold them; a wider rank is a join and a sum of its
-    own.  Each step is stored, so plans stay short and a lost executor costs one step.
+    Nodes meet their inputs once, and every step carries whole nodes, so that nothing is joined at the end.
+    Nodes without inputs need no step.  Of the others, consecutive ranks go together as long as a task can
+    hold them; a wider rank is a join and a sum of its own.  Each step is stored, so plans stay short and a
+    lost executor costs one step.  `marked` turns what changed into 2.
     """
-    nodes = stored(graph.nodes)
-    core = nodes.select("node_id", "rank", "truth", "lut")
-    inputs = stored(graph.edges.join(core.select(F.col("node_id").alias("dst"), F.col("rank").alias("r")).where(F.col("r") < max_rank), "dst"))
-    done = [core.where(F.col("rank") >= max_rank).select("node_id", "truth")]
-    for lo, hi, wide in _bands(core, inputs, max_rank, band_rows):
-        state = done[0]
-        for more in done[1:]:
-            state = state.unionByName(more)
-        own, edges = core.where(F.col("rank").between(lo, hi)), inputs.where(F.col("r").between(lo, hi))
+    own = [c for c in graph.nodes.columns if c != "truth"] + ["was"]
+    before = graph.nodes.withColumnRenamed("truth", "was")
+    edges = graph.edges.where("src IS NOT NULL").select(F.col("dst").alias("__dst"), "slot", "src", "weight")
+    rows = stored(before.join(edges, (F.col("node_id") == F.col("__dst")) & (F.col("rank") < max_rank), "left").select(*own, "slot", "src", "weight"))
+
+    def settled(value: Column) -> Column:
+        return (F.when(value == F.col("was"), value).otherwise(2) if marked else value).cast("smallint").alias("truth")
+
+    def result(x: Column) -> Column:
+        return settled(lut_bit(F.col("lut"), x) if weighted is None else (x >= weighted).cast("int"))
+
+    inputs = rows.where("src IS NOT NULL")
+    alone = rows.where("src IS NULL").select(*own, F.when(F.col("rank") >= max_rank, F.col("was")).otherwise(result(F.lit(0))).alias("truth"))
+    measure, counts = (_bit_sum(), "truth = 1") if weighted is None else (_weight_sum(), "truth IN (1, 2)")
+    done = [alone]
+    for lo, hi, n, wide in _bands(inputs, band_rows):
+        # Other truths add nothing.
+        state = [d.where(counts).select(F.col("node_id").alias("src"), F.col("truth").alias("t")) for d in done]
+        sources = state[0]
+        for more in state[1:]:
+            sources = sources.unionByName(more)
+        taken = inputs.where(F.col("rank").between(lo, hi))
+        narrow = taken.select("node_id", "slot", "src", "weight")
+        hits = sources.join(F.broadcast(narrow) if n <= SENT_ROWS else narrow, "src")
         if wide:
-            x = _inputs(edges, state, _bit_sum() if weighted is None else _weight_sum())
-            joined = own.join(x, "node_id", "left").withColumn("x", F.coalesce("x", F.lit(0)))
-            value = lut_bit(F.col("lut"), F.col("x")) if weighted is None else (F.col("x") >= weighted).cast("int")
-            step = joined.select("node_id", value.cast("smallint").alias("truth"))
+            zero = F.lit(0).cast("bigint" if weighted is None else "double")
+            sums = hits.groupBy("node_id").agg(F.sum(measure).alias("x"))
+            every = taken.groupBy(*own).agg(F.lit(0).alias("__n")).drop("__n")
+            step = every.join(sums, "node_id", "left").select(*own, result(F.coalesce("x", zero)))
         else:
-            sources = state.select(F.col("node_id").alias("src"), F.col("truth").alias("t"))
-            fed = edges.join(sources, "src", "left").select("dst", "slot", "src", "weight", "t")
-            one = F.lit(0).alias("k")
-            step = own.groupBy(one).cogroup(fed.groupBy(one)).applyInPandas(_band_task(weighted), "node_id bigint, truth smallint")
+            blank = [F.lit(0).cast(t).alias(c) for c, t in taken.select(own).dtypes if c != "node_id"]
+            found = hits.select("node_id", *blank, "slot", "src", "weight", "t")
+            both = taken.withColumn("t", F.lit(-1).cast("smallint")).unionByName(found)
+            kinds = ", ".join(f"{c} {t}" for c, t in taken.select(own).dtypes)
+            step = both.groupBy(F.lit(0).alias("k")).applyInPandas(_band_task(weighted, marked), f"{kinds}, truth smallint").select(*own, "truth")
         done.append(stored(step))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return nodes.drop("truth").join(out, "node_id").select(graph.nodes.columns)
+    return out
 
 
 def latch(nodes: DataFrame, back_edges: DataFrame) -> DataFrame:
@@ -138,13 +150,13 @@ def tick(graph: Graph, n: int = 1, max_rank: int = MAX_RANK, band_rows: int = BA
     now = graph
     for _ in range(1 if once else n):
         if registers is None:
-            nodes = _evaluated(now, max_rank, None, band_rows)
+            nodes = _evaluated(now, max_rank, None, band_rows).select(now.nodes.columns)
         else:
             # A register stands for its stored truth while the gates are evaluated.
             ids = registers.select(F.col("dst").alias("node_id")).distinct().withColumn("register", F.lit(True))
             marked = now.nodes.join(ids, "node_id", "left")
             fixed = F.when(F.col("register"), F.when(F.col("truth") == 1, F.lit(-1)).otherwise(F.lit(0)).cast("bigint")).otherwise(F.col("lut"))
-            held = stored(_evaluated(now.with_nodes(marked.withColumn("lut", fixed).select(now.nodes.columns)), max_rank, None, band_rows))
+            held = stored(_evaluated(now.with_nodes(marked.withColumn("lut", fixed).select(now.nodes.columns)), max_rank, None, band_rows).drop("was"))
             nodes = latch(held.drop("lut").join(now.nodes.select("node_id", "lut"), "node_id").select(now.nodes.columns), registers)
         now = now.with_nodes(nodes if once and n == 1 else stored(nodes))
     return replace(now, tick=graph.tick + n)
@@ -152,7 +164,7 @@ def tick(graph: Graph, n: int = 1, max_rank: int = MAX_RANK, band_rows: int = BA
 
 def weighted_tick(graph: Graph, threshold: float, max_rank: int = MAX_RANK, band_rows: int = BAND_ROWS) -> Graph:
     """Evaluate once by weighted votes: 1 if the weighted sum of inputs (undefined: one half) reaches the threshold."""
-    return replace(graph.with_nodes(_evaluated(graph, max_rank, threshold, band_rows)), tick=graph.tick + 1)
+    return replace(graph.with_nodes(_evaluated(graph, max_rank, threshold, band_rows).select(graph.nodes.columns)), tick=graph.tick + 1)
 
 
 def reset_rank(graph: Graph, rank: int) -> Graph:
@@ -167,19 +179,14 @@ def resonance(graph: Graph, max_rank: int = MAX_RANK, cap: int = 100, mode: str
     mode "fixpoint" compares a round with the one before it.  Mode "reference" compares with the state
     before the rank, so a rank where anything changed never settles and its changed nodes become 2.
     """
-    nodes, told = graph.nodes, []
-    for r in _ranks(nodes, max_rank):
-        x = _inputs(graph.edges.join(nodes.where(F.col("rank") == r).select(F.col("node_id").alias("dst")), "dst", "left_semi"), nodes, _bit_sum())
-        own = nodes.where(F.col("rank") == r).join(x, "node_id", "left")
-        fresh = stored(own.select("node_id", lut_bit(F.col("lut"), F.coalesce("x", F.lit(0))).cast("smallint").alias("next"), "truth"))
-        moved = not fresh.where("next <> truth").isEmpty()
-        # Inputs come from higher ranks, so a second round gives what the first gave.
+    # Inputs come from higher ranks, so a second round gives what the first gave: one evaluation is enough.
+    after = stored(_evaluated(graph, max_rank, None, BAND_ROWS, mode != "fixpoint"))
+    ranks = after.where(F.col("rank") < max_rank).groupBy("rank").agg(F.max(F.col("truth") != F.col("was")).alias("moved")).collect()  # max_rank rows at most
+    told = []
+    for r, moved in sorted(((x["rank"], x["moved"]) for x in ranks), reverse=True):
         settled = mode == "fixpoint" or not moved
         told.append((r, (2 if moved else 1) if settled else cap, settled))
-        value = F.col("next") if settled else F.when(F.col("next") != F.col("truth"), F.lit(2)).otherwise(F.col("next"))
-        after = fresh.select("node_id", value.cast("smallint").alias("next"))
-        nodes = nodes.join(after, "node_id", "left").withColumn("truth", F.coalesce("next", "truth")).select(graph.nodes.columns)
-    return replace(graph.with_nodes(stored(nodes)), tick=graph.tick + 1), told
+    return replace(graph.with_nodes(after.select(graph.nodes.columns)), tick=graph.tick + 1), told
 
 
 def compose(graph: Graph, op: str, a: int, b: int | None, into: int) -> Graph:
