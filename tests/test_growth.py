@@ -1,7 +1,10 @@
 """Steps that must not grow faster than their input: what is stored, joined and dealt."""
 
+from graph_data import SF
+
 from tiergraph import schema
 from tiergraph.operators import evaluate
+from tiergraph.plans.graphs import line_tree
 from tiergraph.schema import gate, make_graph
 
 
@@ -41,3 +44,10 @@ def test_shuffled_ranks(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "SENT_ROWS", 0)
     after = evaluate.tick(chain(spark), band_rows=0)
     assert {r["node_id"]: r["truth"] for r in after.nodes.collect()} == {i: (i + 1) % 2 for i in range(9)}
+
+
+def test_tree_keeps_only_what_it_reads(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(schema, "stored", lambda df, f=schema.stored: (seen.append(df.columns), f(df))[1])
+    line_tree(spark, SF)
+    assert seen == [["l_quantity", "__at"]]

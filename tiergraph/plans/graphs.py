@@ -42,7 +42,7 @@ LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 def line_tree(spark: SparkSession, sf_dir: str) -> Graph:
     """A six-way tree over line items in order of all columns; a leaf is true for a quantity above 25."""
     rows = table(spark, sf_dir, "lineitem")
-    leaves = numbered(rows.select(*LINE_ORDER), LINE_ORDER).select("node_id", (F.col("l_quantity") > 25).cast("int").alias("truth"))
+    leaves = numbered(rows.select(*LINE_ORDER), LINE_ORDER, keep=["l_quantity"]).select("node_id", (F.col("l_quantity") > 25).cast("int").alias("truth"))
     return tree(spark, rows.count(), TREE_GATES, leaves)
 
 

@@ -125,14 +125,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "node_id") -> DataFrame:
-    """Number rows 0.. in a total order without one task seeing them all.
+def numbered(df: DataFrame, order: list[str], name: str = "node_id", keep: list[str] | None = None) -> DataFrame:
+    """Number rows 0.. in a total order without one task seeing them all; `keep` names the columns wanted after (default: all).
 
     Rows are dealt by ranges and sorted there; a row's number is its place in its range plus the rows of
     the ranges before, of which there are as many as partitions.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    held = stored(ranged)
+    held = stored(ranged if keep is None else ranged.select(*keep, "__at"))
     part = F.call_function("shiftright", F.col("__at"), F.lit(33))
     sizes = held.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).orderBy("__part").collect()  # one row a partition
     before, total = [], 0
