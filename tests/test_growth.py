@@ -4,6 +4,7 @@ from graph_data import SF
 
 from tiergraph import schema
 from tiergraph.operators import evaluate
+from tiergraph.plans import queries as q
 from tiergraph.plans.graphs import line_tree
 from tiergraph.schema import gate, make_graph
 
@@ -51,3 +52,10 @@ def test_tree_keeps_only_what_it_reads(spark, monkeypatch):
     monkeypatch.setattr(schema, "stored", lambda df, f=schema.stored: (seen.append(df.columns), f(df))[1])
     line_tree(spark, SF)
     assert seen == [["l_quantity", "__at"]]
+
+
+def test_partitions_grow_with_rows(spark, monkeypatch):
+    """Whatever the bytes: small numbers that compress well still go to as many tasks as their rows need."""
+    monkeypatch.setattr(schema, "PART_ROWS", 500)
+    rows = q.induced_edges_all(spark, SF)
+    assert rows.rdd.getNumPartitions() >= rows.count() // 2 // 500

@@ -105,11 +105,12 @@ def traverse(graph: Graph, node: int, depth: int) -> DataFrame:
     return out.join(graph.nodes, "node_id").select("level", "node_id", "rank", "truth", "node_type")
 
 
-def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges (dst, src) with both ends in the set."""
+def induced(edges: DataFrame, members: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Edges (dst, src) with both ends in the set; large tables are dealt over so many partitions."""
     ids = members.select("node_id")
-    half = edges.join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
-    return half.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").select("dst", "src")
+    dealt = lambda df, c: df.repartition(partitions, c) if partitions else df
+    half = dealt(edges.select("dst", "src"), "dst").join(dealt(ids.withColumnRenamed("node_id", "dst"), "dst"), "dst", "left_semi")
+    return dealt(half, "src").join(dealt(ids.withColumnRenamed("node_id", "src"), "src"), "src", "left_semi").select("dst", "src")
 
 
 def local_ancestry(graph: Graph, origins: DataFrame, depth: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tiergraph.operators.build import Builder, tree
-from tiergraph.schema import TOP_RANK, Graph, gate, numbered
+from tiergraph.schema import TOP_RANK, Graph, gate, numbered, parts
 
 #: Truth codes of the event table's types, and gates of the tree's levels in turn.
 EVENT_CODES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with node_id in order of time, the previous event of the user and of user and type."""
-    rows = numbered(table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type", "value"), ["ts", "event_id"])
+    events = table(spark, sf_dir, "events")
+    rows = numbered(events.select("ts", "event_id", "user_id", "event_type", "value"), ["ts", "event_id"]).repartition(parts(events.count()), "user_id")
     by_user = Window.partitionBy("user_id").orderBy("node_id")
     by_type = Window.partitionBy("user_id", "event_type").orderBy("node_id")
     codes = F.create_map(*[F.lit(x) for kv in EVENT_CODES.items() for x in kv])

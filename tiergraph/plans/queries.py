@@ -12,7 +12,7 @@ from tiergraph.functions import bits
 from tiergraph.operators import build, distance, evaluate, grid, report, select, traverse
 from tiergraph.operators.validate import violations
 from tiergraph.plans.graphs import EVENT_CODES, TREE_GATES, conversation_graph, event_graph, event_rows, geography, line_tree, table
-from tiergraph.schema import GATES, TOP_RANK, Graph, gate, make_graph, shared_folder, stored
+from tiergraph.schema import GATES, TOP_RANK, Graph, gate, make_graph, parts, shared_folder, stored
 from tiergraph.sources import arrays, files, history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -693,7 +693,9 @@ def wal_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def induced_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = event_graph(spark, sf_dir)
     a, b, _ = _span(graph)
-    edges = lambda members, part: traverse.induced(graph.edges, members).select(F.lit(part).alias("part"), "dst", "src")
+    every = stored(graph.edges.select("dst", "src"))
+    partitions = parts(every.count())
+    edges = lambda members, part: traverse.induced(every, members, partitions).select(F.lit(part).alias("part"), "dst", "src")
     return edges(a, "a").unionByName(edges(b, "b"))
 
 

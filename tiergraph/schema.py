@@ -125,6 +125,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a partition where a join or a window sorts them; by bytes, Spark would join partitions of numbers that compress well.
+PART_ROWS = 250_000
+
+
+def parts(rows: int) -> int:
+    """Partitions for so many rows."""
+    return max(4, -(-rows // PART_ROWS))
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "node_id", keep: list[str] | None = None) -> DataFrame:
     """Number rows 0.. in a total order without one task seeing them all; `keep` names the columns wanted after (default: all).
 
